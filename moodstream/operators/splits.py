@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moodstream.functions.scalar import nan_to_null
+
 TEST_SIZE = 0.2
 SEED = 42
 SHARDS = 1024
@@ -78,3 +80,21 @@ def cover_classes(split: DataFrame, target: str, keys: Sequence[str]) -> DataFra
     moved = split.join(F.broadcast(chosen), list(keys), "left")
     part = F.when(F.col("_move"), "train").otherwise(F.col("part"))
     return moved.withColumn("part", part).drop("_move")
+
+
+def last_days(rows: DataFrame, days: int, column: str = "date") -> DataFrame:
+    """Rows of the newest date and the `days` before it."""
+    newest = rows.select(F.max(column)).scalar()
+    return rows.filter(F.col(column) >= F.date_sub(newest, days))
+
+
+def feature_columns(rows: DataFrame, target: str, keys: Sequence[str] = ("listener_id", "session_id", "played_at")) -> list[str]:
+    """All columns but the target, the date and the keys, in table order; `hour` is a feature."""
+    return [c for c in rows.columns if c != target and c != "date" and c not in keys]
+
+
+def filled(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Model features with 0 for a missing value and for a missing column."""
+    present = {c: F.coalesce(nan_to_null(F.col(c).cast("double")), F.lit(0.0)) for c in columns if c in rows.columns}
+    absent = {c: F.lit(0.0) for c in columns if c not in rows.columns}
+    return rows.withColumns({**present, **absent})
