@@ -148,12 +148,14 @@ days AS (
 )"""
 
 # The hour grid of session-start samples, as CTE bodies.
-SESSION_SAMPLES = """
+def session_samples_sql(grid_days: str) -> str:
+    """CTE bodies of the session-start samples over the given listener dates."""
+    return f"""
 start_hours AS (SELECT DISTINCT listener_id, date, hour FROM starts),
 span AS (
   SELECT listener_id, CAST(min(played_at) AS DATE) AS a, CAST(max(played_at) AS DATE) AS b FROM sess GROUP BY ALL
 ), grid_days AS (
-  SELECT listener_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM span
+  {grid_days}
 ), grid AS (
   SELECT listener_id, date, CAST(unnest(range(24)) AS INTEGER) AS hour FROM grid_days
 ), freq AS (
@@ -170,7 +172,8 @@ span AS (
 ), firsts AS (
   SELECT listener_id, min(date + hour * INTERVAL 1 HOUR) AS first_start FROM start_hours GROUP BY ALL
 ), dur AS (
-  SELECT g.listener_id, g.date, avg(s.duration_minutes) AS d7
+  SELECT g.listener_id, g.date, 
+    sum(epoch_us(s.session_end) - epoch_us(s.session_start)) / count(s.session_id) / 6e7::DOUBLE AS d7
   FROM grid_days g LEFT JOIN starts s ON s.listener_id = g.listener_id AND s.date >= g.date - 7 AND s.date < g.date
   GROUP BY ALL
 ), day_tracks AS (
@@ -198,6 +201,11 @@ span AS (
     LEFT JOIN start_hours h ON h.listener_id = g.listener_id AND h.date = g.date AND h.hour = g.hour
 )"""
 
+
+SESSION_SAMPLES = session_samples_sql(
+    "SELECT listener_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM span"
+)
+
 _SAMPLE_FEATURES = [
     "hour", "hour_sin", "hour_cos", "day_sin", "day_cos", "day_of_month", "is_weekend",
     "rolling_listening_frequency_7d", "rolling_listening_frequency_30d", "time_since_last_session",
