@@ -1,7 +1,8 @@
 """Train and validation splits without ordering the whole table.
 
-A split orders rows by a coarse key first and by fine keys inside it. Counts per coarse value show on which side each
-one lies; only rows of the one coarse value that the cut runs through are ordered row by row.
+A split orders rows by coarse keys first and by fine keys inside them. Counts per coarse value show on which side each
+one lies; only the rows of the one value that the cut runs through are looked at by the next finer key, and only the
+rows of the last such value are ordered one by one.
 """
 
 from collections.abc import Sequence
@@ -17,29 +18,44 @@ SHARDS = 1024
 
 
 def _cut(
-    rows: DataFrame, strata: Sequence[str], coarse: Sequence[str], fine: Sequence[str], first: float
+    rows: DataFrame,
+    strata: Sequence[str],
+    levels: Sequence[Sequence[str]],
+    fine: Sequence[str],
+    first: float,
+    rest: bool = False,
 ) -> DataFrame:
-    """Adds `part`: `train` for the first floor(n * first) rows of each stratum in (coarse, fine) order, else `val`."""
-    strata, coarse = list(strata), list(coarse)
-    counts = rows.groupBy(*strata, *coarse).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per coarse value, of which there are few: dates with hours, or hash shards.
+    """Adds `part`: `train` for the first floor(n * first) rows of each stratum in the order of levels and fine keys.
+
+    With `rest`, the rows carry the number of train rows of their stratum in `_rest`.
+    """
+    strata, level = list(strata), list(levels[0])
     group = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
-    up_to = group.orderBy(*coarse).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wanted = F.max("_rest") if rest else F.lit(0)
+    counts = rows.groupBy(*strata, *level).agg(F.count(F.lit(1)).alias("_n"), wanted.alias("_rest"))
+    # One row per value of the level, of which there are few: hours of the calendar, or hash shards.
+    up_to = group.orderBy(*level).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    share = F.floor(F.sum("_n").over(group) * F.lit(first) + F.lit(1e-9))
     places = counts.select(
         *strata,
-        *coarse,
+        *level,
         (F.sum("_n").over(up_to) - F.col("_n")).alias("_from"),
         F.sum("_n").over(up_to).alias("_to"),
-        F.floor(F.sum("_n").over(group) * F.lit(first) + F.lit(1e-9)).alias("_cut"),
+        (F.col("_rest") if rest else share).alias("_cut"),
     )
-    placed = rows.join(places, [*strata, *coarse])
+    placed = rows.drop("_rest").join(places, [*strata, *level])
     whole = placed.filter((F.col("_to") <= F.col("_cut")) | (F.col("_from") >= F.col("_cut")))
     whole = whole.withColumn("part", F.when(F.col("_to") <= F.col("_cut"), "train").otherwise("val"))
-    split = placed.filter((F.col("_from") < F.col("_cut")) & (F.col("_to") > F.col("_cut")))
-    order = Window.partitionBy(*strata, *coarse).orderBy(*fine)
-    place = F.col("_from") + F.row_number().over(order)
-    split = split.withColumn("part", F.when(place <= F.col("_cut"), "train").otherwise("val"))
-    return whole.unionByName(split).drop("_from", "_to", "_cut")
+    through = placed.filter((F.col("_from") < F.col("_cut")) & (F.col("_to") > F.col("_cut")))
+    through = through.withColumn("_rest", F.col("_cut") - F.col("_from"))
+    inner = [*strata, *level]
+    if len(levels) > 1:
+        split = _cut(through.drop("_from", "_to", "_cut"), inner, levels[1:], fine, first, rest=True)
+    else:
+        place = F.row_number().over(Window.partitionBy(*inner).orderBy(*fine))
+        split = through.withColumn("part", F.when(place <= F.col("_rest"), "train").otherwise("val"))
+        split = split.drop("_from", "_to", "_cut", "_rest")
+    return whole.drop("_from", "_to", "_cut").unionByName(split)
 
 
 def time_split(
@@ -47,7 +63,7 @@ def time_split(
 ) -> DataFrame:
     """The earlier rows train, the later ones validate; no row is in both."""
     sharded = rows.withColumn("_shard", F.pmod(F.col(key), F.lit(SHARDS)))
-    return _cut(sharded, [], [*by, "_shard"], [key], 1 - test_size).drop("_shard")
+    return _cut(sharded, [], [by, ["_shard"]], [key], 1 - test_size).drop("_shard")
 
 
 def row_hash(keys: Sequence[str], seed: int = SEED) -> Column:
@@ -55,18 +71,24 @@ def row_hash(keys: Sequence[str], seed: int = SEED) -> Column:
     return F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))), 1, 8)
 
 
+def _hashed(rows: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+    """Adds the row hash, and from its digits 4096 shards, each of 4096 finer ones."""
+    hashed = rows.withColumn("_hash", row_hash(keys, seed))
+    return hashed.withColumns({"_shard": F.substring("_hash", 1, 3), "_finer": F.substring("_hash", 4, 3)})
+
+
 def stratified_split(
     rows: DataFrame, target: str, keys: Sequence[str], test_size: float = TEST_SIZE, seed: int = SEED
 ) -> DataFrame:
     """A repeatable random split that keeps the share of each class."""
-    hashed = rows.withColumn("_hash", row_hash(keys, seed)).withColumn("_shard", F.substring("_hash", 1, 3))
-    return _cut(hashed, [target], ["_shard"], ["_hash", *keys], 1 - test_size).drop("_hash", "_shard")
+    hashed = _hashed(rows, keys, seed)
+    return _cut(hashed, [target], [["_shard"], ["_finer"]], ["_hash", *keys], 1 - test_size).drop("_hash", "_shard", "_finer")
 
 
 def random_split(rows: DataFrame, keys: Sequence[str], test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:
     """A repeatable random split without regard to classes."""
-    hashed = rows.withColumn("_hash", row_hash(keys, seed)).withColumn("_shard", F.substring("_hash", 1, 3))
-    return _cut(hashed, [], ["_shard"], ["_hash", *keys], 1 - test_size).drop("_hash", "_shard")
+    hashed = _hashed(rows, keys, seed)
+    return _cut(hashed, [], [["_shard"], ["_finer"]], ["_hash", *keys], 1 - test_size).drop("_hash", "_shard", "_finer")
 
 
 def cover_classes(split: DataFrame, target: str, keys: Sequence[str]) -> DataFrame:
