@@ -1,12 +1,13 @@
 """Moods: nearest centroid, labels, k-means."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,8 @@ from moodstream.schemas import FEATURES, MAX_MOODS
 K_RANGE = (3, 15)
 STARTS = 10
 SEED = 42
+# Fits that are submitted to the cluster at the same time.
+PARALLEL_FITS = 4
 
 
 def complete(plays: DataFrame) -> DataFrame:
@@ -87,9 +90,19 @@ def weighted_vectors(plays: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(points)
 
 
+def _side_by_side(spark: SparkSession, task: Callable, items: Sequence) -> list:
+    """Results of independent Spark jobs in the order of the items, a few at a time."""
+    with ThreadPool(min(PARALLEL_FITS, len(items))) as pool:
+        return pool.map(inheritable_thread_target(spark)(task), items)
+
+
 def _best_fit(vectors: DataFrame, k: int, starts: int, seed: int):
-    """The k-means model with the lowest cost among several starts."""
-    fits = [KMeans(k=k, seed=seed + i, weightCol="weight").fit(vectors) for i in range(starts)]
+    """The k-means model with the lowest cost among several starts; the first one wins a tie."""
+
+    def fit(i: int):
+        return KMeans(k=k, seed=seed + i, weightCol="weight").fit(vectors)
+
+    fits = [fit(0)] if starts == 1 else _side_by_side(vectors.sparkSession, fit, range(starts))
     return min(fits, key=lambda model: model.summary.trainingCost)
 
 
@@ -110,11 +123,14 @@ def choose_k(
     if high < low:
         return max(low, 3)
     judge = ClusteringEvaluator(weightCol="weight")
-    ks, costs, scores = list(range(low, high + 1)), [], []
-    for k in ks:
+
+    def trial(k: int) -> tuple[float, float]:
         model = _best_fit(vectors, k, starts, seed)
-        costs.append(model.summary.trainingCost)
-        scores.append(judge.evaluate(model.transform(vectors)) if n_rows >= 2 * k else -1.0)
+        silhouette = judge.evaluate(model.transform(vectors)) if n_rows >= 2 * k else -1.0
+        return model.summary.trainingCost, silhouette
+
+    ks = list(range(low, high + 1))
+    costs, scores = zip(*_side_by_side(vectors.sparkSession, trial, ks), strict=True)
     best = max(scores)
     return ks[scores.index(best)] if best > 0 else elbow(ks, costs)
 
