@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from moodstream.operators.ingest import after_high_water
+from moodstream.operators.arrivals import prepared_batch
 from moodstream.operators.mood_dataset import scoring_context
 from moodstream.operators.models import Trained, rescore_moods
 from moodstream.operators.moods import assign_moods
-from moodstream.operators.sessions import DEFAULT_GAP_MINUTES, continue_sessions, sessionise
+from moodstream.operators.sessions import DEFAULT_GAP_MINUTES
 from moodstream.schemas import PLAY_KEY
 from moodstream.sources import history as store
 
@@ -89,19 +89,6 @@ def to_each_batch(rows: DataFrame, write: Callable[[DataFrame, int], None], chec
     )
 
 
-def prepared_batch(
-    batch: DataFrame, history: DataFrame | None, points: Sequence[dict], gap_minutes: float = DEFAULT_GAP_MINUTES
-) -> DataFrame:
-    """New complete plays of a batch, with session ids that go on from history, and moods."""
-    fresh = batch.na.drop("any")
-    if history is not None:
-        fresh = after_high_water(fresh, history)
-        numbered = continue_sessions(fresh, history, gap_minutes)
-    else:
-        numbered = sessionise(fresh, gap_minutes)
-    return assign_moods(numbered, points)
-
-
 def ingest_into(
     spark: SparkSession, history_path: str, points: Sequence[dict], gap_minutes: float = DEFAULT_GAP_MINUTES
 ) -> Callable[[DataFrame, int], None]:
