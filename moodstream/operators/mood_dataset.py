@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from moodstream.functions.scalar import cyclic_time, minutes_between
 from moodstream.operators.ingest import seen_again, union_aligned
-from moodstream.operators.skew import chunked, numbered
+from moodstream.operators.skew import CHUNK_ROWS, chunked, numbered
 from moodstream.schemas import FEATURES
 
 WINDOW_SIZE = 3
@@ -46,14 +46,16 @@ def _frame_stats(frame: WindowSpec, fill: bool) -> dict[str, Column]:
     return stats
 
 
-def mood_samples(history: DataFrame, window_size: int = WINDOW_SIZE) -> DataFrame:
+def mood_samples(
+    history: DataFrame, window_size: int = WINDOW_SIZE, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
     """One training sample per run of `window_size` plays with features that is followed by another play.
 
     Windows run over chunks of numbered sessions, so a session of any length is spread over many tasks.
     """
     slim = history.select(*SESSION, *PLAY_ORDER, *FEATURES, "mood_cluster_id")
     known = slim.na.drop(subset=["mood_cluster_id", "session_id"])
-    chunks = chunked(numbered(known, SESSION, PLAY_ORDER), before=window_size - 1, after=1)
+    chunks = chunked(numbered(known, SESSION, PLAY_ORDER), window_size - 1, 1, chunk_rows)
     order = Window.partitionBy(*SESSION, "_chunk").orderBy("_pos")
     frame = order.rowsBetween(-(window_size - 1), 0)
     sequence = {
@@ -85,7 +87,9 @@ def mood_samples(history: DataFrame, window_size: int = WINDOW_SIZE) -> DataFram
     ).select("listener_id", "session_id", "played_at", *sample_columns(window_size), "target_mood_cluster")
 
 
-def scoring_context(batch: DataFrame, history: DataFrame, window_size: int = WINDOW_SIZE) -> DataFrame:
+def scoring_context(
+    batch: DataFrame, history: DataFrame, window_size: int = WINDOW_SIZE, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
     """Per batch play, the sample of the plays strictly before it in its session.
 
     Only the history of sessions the batch touches is read. `ready` tells whether there are enough earlier plays, all
@@ -97,7 +101,7 @@ def scoring_context(batch: DataFrame, history: DataFrame, window_size: int = WIN
     both = union_aligned(
         earlier.withColumn("_new", F.lit(False)), batch.select(*columns).withColumn("_new", F.lit(True))
     )
-    chunks = chunked(numbered(both, SESSION, PLAY_ORDER), before=window_size, after=0)
+    chunks = chunked(numbered(both, SESSION, PLAY_ORDER), window_size, 0, chunk_rows)
     order = Window.partitionBy(*SESSION, "_chunk").orderBy("_pos")
     frame = order.rowsBetween(-window_size, -1)
     framed = chunks.withColumns(

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # A key outside the HOT_KEYS most frequent ones holds less than 1/HOT_KEYS of the rows.
 HOT_KEYS = 1000
 SALTS = 64
+# Rows of a long group that one task handles together.
+CHUNK_ROWS = 4096
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], limit: int = HOT_KEYS) -> DataFrame:
@@ -70,11 +72,11 @@ def numbered(
     return placed.withColumn("_pos", F.col("_before") + F.col("_local") - 1).drop("_slice", "_local", "_before")
 
 
-def chunked(rows: DataFrame, before: int, after: int, size: int = 4096) -> DataFrame:
+def chunked(rows: DataFrame, before: int, after: int, size: int = CHUNK_ROWS) -> DataFrame:
     """Cuts numbered groups into chunks of `size` places for frames of `before` preceding and `after` following rows.
 
     Rows near an edge are also copied to the neighbouring chunk, so that every frame of an owned row lies in its own
-    chunk. `_owned` marks the one copy of each row to keep.
+    chunk. `_owned` marks the one copy of each row to keep. `size` is at least `before` and `after`.
     """
     home = F.floor(F.col("_pos") / size)
     place = F.col("_pos") - home * size

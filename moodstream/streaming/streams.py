@@ -97,7 +97,8 @@ def ingest_into(
     def write(batch: DataFrame, batch_id: int) -> None:
         del batch_id
         history = store.try_scan(batch.sparkSession, history_path)
-        rows = prepared_batch(batch, history, points, gap_minutes)
+        # Written once, since the update reads it several times.
+        rows = store.staged(prepared_batch(batch, history, points, gap_minutes))
         store.update_history(batch.sparkSession, history_path, rows)
 
     return write
