@@ -104,6 +104,15 @@ def session_days(history: DataFrame) -> DataFrame:
     )
 
 
+def by_listener(rows: DataFrame) -> DataFrame:
+    """The rows brought together by listener, for several steps that all work on that partitioning.
+
+    For rows bounded by the calendar, which grow again later: a fixed number of partitions is not merged at run time.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, "listener_id")
+
+
 def session_facts(history: DataFrame) -> DataFrame:
     """Start, end, start date and hour, duration in minutes, and size of each session."""
     per_session = history.groupBy("listener_id", "session_id").agg(

@@ -7,7 +7,7 @@ from moodstream import fixtures
 from moodstream.operators import evaluate, export, ingest
 from moodstream.operators.mood_dataset import SESSION, scoring_context
 from moodstream.operators.moods import with_nearest
-from moodstream.operators.session_dataset import day_grid, daily_facts, hour_grid, session_samples
+from moodstream.operators.session_dataset import daily_facts, dense_days, hour_grid, session_samples
 from moodstream.operators.sessions import session_facts, sessionise
 from moodstream.plans.catalog.common import (
     BATCH_FROM,
@@ -106,8 +106,8 @@ def days_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = daily_facts(sessions(spark, sf_dir))
-    return hour_grid(day_grid(daily, F.min("date"), F.max("date")))
+    days = dense_days(daily_facts(sessions(spark, sf_dir)))
+    return hour_grid(days.select("listener_id", "date"))
 
 
 def scoring_union(spark: SparkSession, sf_dir: str) -> DataFrame:
