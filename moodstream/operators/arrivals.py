@@ -5,24 +5,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodstream.operators.ingest import after_high_water, one_per_key
+from moodstream.operators.ingest import newer_than, one_per_key
 from moodstream.operators.moods import assign_moods
-from moodstream.operators.sessions import DEFAULT_GAP_MINUTES, continue_sessions, sessionise
+from moodstream.operators.sessions import DEFAULT_GAP_MINUTES, continued, sessionise
 
 
 def prepared_batch(
     batch: DataFrame,
-    history: DataFrame | None,
+    tails: DataFrame | None,
     points: Sequence[dict] | None,
     gap_minutes: float = DEFAULT_GAP_MINUTES,
 ) -> DataFrame:
-    """New complete plays of a batch, one per key, with session ids that go on from history, and with moods.
+    """New complete plays of a batch, one per key, with session ids that go on from the tails, and with moods.
 
-    Without centroids (before the first moods are built) the mood column is left out.
+    `tails` (see `listener_tails`) stand for the history, which is not read. Without centroids (before the first moods
+    are built) the mood column is left out.
     """
     fresh = one_per_key(batch.na.drop("any"), [F.lit(1)])
-    if history is None:
+    if tails is None:
         numbered = sessionise(fresh, gap_minutes)
     else:
-        numbered = continue_sessions(after_high_water(fresh, history), history, gap_minutes)
+        numbered = continued(newer_than(fresh, tails), tails, gap_minutes)
     return numbered if points is None else assign_moods(numbered, points)

@@ -15,13 +15,18 @@ def latest_play(history: DataFrame) -> DataFrame:
     return history.groupBy("listener_id").agg(F.max("played_at").alias("latest_played_at"))
 
 
-def after_high_water(new: DataFrame, history: DataFrame) -> DataFrame:
-    """Plays later than all of the listener's history; everything for a listener without history."""
-    marked = lookup_join(new, latest_play(history), ["listener_id"])
+def newer_than(new: DataFrame, latest: DataFrame) -> DataFrame:
+    """Plays after the listener's `latest_played_at`; everything for a listener without one."""
+    marked = lookup_join(new, latest.select("listener_id", "latest_played_at"), ["listener_id"])
     fresh = F.col("latest_played_at").isNull() | (F.col("played_at") > F.col("latest_played_at"))
     return marked.filter(fresh).drop("latest_played_at")
 
 
+def after_high_water(new: DataFrame, history: DataFrame) -> DataFrame:
+    """Plays later than all of the listener's history."""
+    return newer_than(new, latest_play(history))
+
+
 def unseen(new: DataFrame, history: DataFrame) -> DataFrame:
     """Plays whose key is not in history."""
     return new.join(history.select(*PLAY_KEY), PLAY_KEY, "left_anti")

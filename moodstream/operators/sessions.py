@@ -76,20 +76,54 @@ def sessionise(
     return with_previous(base, gap_minutes, slice_minutes).drop("previous_played_at")
 
 
-def continue_sessions(new: DataFrame, history: DataFrame, gap_minutes: float = DEFAULT_GAP_MINUTES) -> DataFrame:
-    """Session ids for plays later than all of the listener's history, without reading the history's order again."""
-    tail = history.groupBy("listener_id").agg(
-        F.max("played_at").alias("_end"), F.max("session_id").alias("_last_session")
+def listener_tails(history: DataFrame) -> DataFrame:
+    """Per listener: the latest play, and number and start of the last session. All that new plays need to go on."""
+    sessions = history.groupBy("listener_id", "session_id").agg(
+        F.max("played_at").alias("latest_played_at"), F.min("played_at").alias("last_session_start")
+    )
+    return _last_sessions(sessions)
+
+
+def _last_sessions(sessions: DataFrame) -> DataFrame:
+    last = F.max(F.struct("session_id", "last_session_start", "latest_played_at"))
+    return (
+        sessions.groupBy("listener_id")
+        .agg(last.alias("_last"))
+        .select(
+            "listener_id",
+            F.col("_last.latest_played_at").alias("latest_played_at"),
+            F.col("_last.session_id").alias("last_session_id"),
+            F.col("_last.last_session_start").alias("last_session_start"),
+        )
     )
+
+
+def extended_tails(tails: DataFrame, batch: DataFrame) -> DataFrame:
+    """The tails after a batch with session ids went into history."""
+    both = tails.unionByName(listener_tails(batch)).groupBy(
+        "listener_id", F.col("last_session_id").alias("session_id")
+    )
+    return _last_sessions(
+        both.agg(
+            F.max("latest_played_at").alias("latest_played_at"), F.min("last_session_start").alias("last_session_start")
+        )
+    )
+
+
+def continued(new: DataFrame, tails: DataFrame, gap_minutes: float = DEFAULT_GAP_MINUTES) -> DataFrame:
+    """Session ids for plays later than the listener's tail, which they go on from."""
     heads = new.groupBy("listener_id").agg(F.min("played_at").alias("_begin"))
-    opens = _longer(F.col("_end"), F.col("_begin"), gap_minutes)
-    shift = heads.join(tail, "listener_id").select(
-        "listener_id", (F.col("_last_session") + opens).alias("_shift")
+    opens = _longer(F.col("latest_played_at"), F.col("_begin"), gap_minutes)
+    shift = heads.join(tails, "listener_id").select(
+        "listener_id", (F.col("last_session_id") + opens).alias("_shift")
     )
-    numbered = lookup_join(sessionise(new, gap_minutes), shift, ["listener_id"])
-    return numbered.withColumn(
-        "session_id", F.col("session_id") + F.coalesce("_shift", F.lit(0))
-    ).drop("_shift")
+    ids = lookup_join(sessionise(new, gap_minutes), shift, ["listener_id"])
+    return ids.withColumn("session_id", F.col("session_id") + F.coalesce("_shift", F.lit(0))).drop("_shift")
+
+
+def continue_sessions(new: DataFrame, history: DataFrame, gap_minutes: float = DEFAULT_GAP_MINUTES) -> DataFrame:
+    """Session ids for plays later than all of the listener's history, without ordering the history again."""
+    return continued(new, listener_tails(history), gap_minutes)
 
 
 def session_days(history: DataFrame) -> DataFrame:
@@ -104,6 +138,11 @@ def session_days(history: DataFrame) -> DataFrame:
     )
 
 
+def as_session_days(rows: DataFrame) -> DataFrame:
+    """Session days as they are, or those of a history. Jobs derive them once for all their summaries."""
+    return rows if "n_plays" in rows.columns else session_days(rows)
+
+
 def by_listener(rows: DataFrame) -> DataFrame:
     """The rows brought together by listener, for several steps that all work on that partitioning.
 
@@ -114,11 +153,12 @@ def by_listener(rows: DataFrame) -> DataFrame:
 
 
 def session_facts(history: DataFrame) -> DataFrame:
-    """Start, end, start date and hour, duration in minutes, and size of each session."""
+    """Start, end, start date and hour, duration in minutes, and size of each session, from plays or session days."""
+    first, last, size = "played_at", "played_at", F.count(F.lit(1))
+    if "n_plays" in history.columns:
+        first, last, size = "first_play", "last_play", F.sum("n_plays")
     per_session = history.groupBy("listener_id", "session_id").agg(
-        F.min("played_at").alias("session_start"),
-        F.max("played_at").alias("session_end"),
-        F.count(F.lit(1)).alias("n_tracks"),
+        F.min(first).alias("session_start"), F.max(last).alias("session_end"), size.alias("n_tracks")
     )
     return per_session.select(
         "listener_id",
@@ -138,8 +178,9 @@ def start_hours(history: DataFrame) -> DataFrame:
 
 
 def history_counts(history: DataFrame) -> DataFrame:
-    """Number of plays and of distinct sessions."""
-    sessions = history.groupBy("listener_id", "session_id").agg(F.count(F.lit(1)).alias("n"))
+    """Number of plays and of distinct sessions, from plays or session days."""
+    size = F.sum("n_plays") if "n_plays" in history.columns else F.count(F.lit(1))
+    sessions = history.groupBy("listener_id", "session_id").agg(size.alias("n"))
     return sessions.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("num_tracks"), F.count(F.lit(1)).alias("num_sessions")
     )

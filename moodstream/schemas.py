@@ -51,6 +51,16 @@ HISTORY = T.StructType(
     ]
 )
 
+# What new plays need to know of a listener's history.
+TAILS = T.StructType(
+    [
+        T.StructField("listener_id", T.LongType()),
+        T.StructField("latest_played_at", T.TimestampType()),
+        T.StructField("last_session_id", T.LongType()),
+        T.StructField("last_session_start", T.TimestampType()),
+    ]
+)
+
 CENTROID = T.StructType([T.StructField(f, T.DoubleType()) for f in FEATURES])
 
 CLUSTER_MODEL = T.StructType(

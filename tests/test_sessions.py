@@ -4,7 +4,9 @@ from conftest import START
 
 from moodstream.operators.sessions import (
     continue_sessions,
+    extended_tails,
     history_counts,
+    listener_tails,
     play_gaps,
     session_days,
     session_facts,
@@ -79,6 +81,23 @@ def test_continued_ids_equal_full_numbering(make_plays):
     assert got and all(want[k] == v for k, v in got.items())
 
 
+def test_tails_grow_with_each_batch(make_plays):
+    rows = random_rows(6)
+    full_history = sessionise(make_plays(rows))
+    edge = F.lit(START.timestamp() + 120_000).cast("timestamp")
+    old, new = full_history.filter(F.col("played_at") < edge), full_history.filter(F.col("played_at") >= edge)
+    got = {r["listener_id"]: r for r in extended_tails(listener_tails(old), new).collect()}
+    want = {r["listener_id"]: r for r in listener_tails(full_history).collect()}
+    assert got == want and len(want) == 6
+
+
+def test_facts_from_session_days_are_the_same(make_plays):
+    history = sessionise(make_plays(random_rows(7)))
+    days = session_days(history)
+    for derive in (session_facts, history_counts, start_hours):
+        assert sorted(derive(days).collect()) == sorted(derive(history).collect())
+
+
 def test_single_play_and_day_crossing(make_plays):
     late = 86_400 - 600
     history = sessionise(make_plays([(1, late, "a"), (1, late + 1200, "b"), (1, late + 90_000, "c")]))
