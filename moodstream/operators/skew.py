@@ -21,19 +21,25 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], limit: int = HOT_KEYS) -> Dat
 def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], hot: int = HOT_KEYS) -> DataFrame:
     """Left join to a table with one row per key, for `rows` whose keys may be very uneven.
 
-    The entries of the most frequent keys (at most `hot` rows) are broadcast. Rows with such a key get a salt that no
-    table entry carries, so that they are spread over all tasks of the shuffle join that serves the other rows.
+    The most frequent keys (at most `hot`) are broadcast with their entries. Their rows, and rows without a key, get a
+    salt that no table entry carries, so that they are spread over all tasks of the shuffle join that serves the rest.
     """
     keys = list(keys)
     values = [c for c in table.columns if c not in keys]
-    frequent = table.join(F.broadcast(hot_keys(rows, keys, hot)), keys, "left_semi")
-    frequent = frequent.select(*keys, F.struct(*values).alias("_hot")).limit(hot)
-    marked = rows.join(F.broadcast(frequent), keys, "left")
-    salt = F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
-    marked = marked.withColumn("_salt", F.coalesce(salt, F.lit(0)).cast("long"))
-    entries = table.select(*keys, F.struct(*values).alias("_cold"), F.lit(0).cast("long").alias("_salt"))
-    joined = marked.join(entries, [*keys, "_salt"], "left")
-    found = F.coalesce(F.col("_hot"), F.col("_cold"))
+    frequent = hot_keys(rows, keys, hot)
+    entries = table.join(F.broadcast(frequent), keys, "left_semi").select(*keys, F.struct(*values).alias("_entry"))
+    # Both sides have at most `hot` rows.
+    known = frequent.join(F.broadcast(entries.limit(hot)), keys, "left")
+    known = known.select(*keys, "_entry", F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(known), keys, "left")
+    keyless = F.lit(False)
+    for key in keys:
+        keyless = keyless | F.col(key).isNull()
+    salt = F.when(F.col("_hot").isNotNull() | keyless, 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0)
+    marked = marked.withColumn("_salt", salt.cast("long"))
+    cold = table.select(*keys, F.struct(*values).alias("_cold"), F.lit(0).cast("long").alias("_salt"))
+    joined = marked.join(cold, [*keys, "_salt"], "left")
+    found = F.coalesce(F.col("_entry"), F.col("_cold"))
     return joined.select(*[F.col(c) for c in rows.columns], *[found[v].alias(v) for v in values])
 
 

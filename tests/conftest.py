@@ -19,7 +19,9 @@ def spark():
         app="tests",
         master="local[8]",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "3",
+            "spark.default.parallelism": "3",
+            "spark.ui.showConsoleProgress": "false",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "8g",
             "spark.sql.execution.arrow.pyspark.enabled": "true",

@@ -6,10 +6,8 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 # One or two of each kind; `python tests/check_sql.py` runs them all.
 KEYS = [
-    "A1_history_scan",
     "A5_feature_payload",
     "A8_stored_history_upsert",
-    "A12_dashboard",
     "B1_high_water_filter",
     "B7_recent_and_prior_periods",
     "C2_feature_enrichment",

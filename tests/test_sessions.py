@@ -136,6 +136,9 @@ def test_lookup_join_equals_left_join(spark, make_plays):
     rows = make_plays(random_rows(5, n=300, hot=0.9))
     table = spark.createDataFrame([(1, "hot"), (3, "cold"), (50, "absent"), (4, None)], "listener_id long, v string")
     want = sorted(map(tuple, rows.join(table, "listener_id", "left").select("listener_id", "track_id", "v").collect()), key=repr)
+    # Hot keys with and without an entry, cold keys, and rows without a key.
+    rows = rows.unionByName(make_plays([(None, 5, "n"), (None, 6, "m")] + [(77, i, "h") for i in range(40)]))
+    want = sorted(map(tuple, rows.join(table, "listener_id", "left").select("listener_id", "track_id", "v").collect()), key=repr)
     for hot in (1, 2, 1000):
         got = lookup_join(rows, table, ["listener_id"], hot).select("listener_id", "track_id", "v").collect()
         assert sorted(map(tuple, got), key=repr) == want
