@@ -111,6 +111,11 @@ _PARTS = ", ".join(
     f"avg({{v}}) FILTER (period = '{p}') AS {{n}}_{p}_mean, stddev_pop({{v}}) FILTER (period = '{p}') AS {{n}}_{p}_std"
     for p in ("recent", "prior")
 )
+_LENGTHS = ", ".join(
+    f"sum(micros) FILTER (period = '{p}') / count(*) FILTER (period = '{p}') / 6e7::DOUBLE AS session_duration_{p}_mean,"
+    f" stddev_pop(micros / 6e7::DOUBLE) FILTER (period = '{p}') AS session_duration_{p}_std"
+    for p in ("recent", "prior")
+)
 _TWO = ["session_duration", "sessions_per_day", "tracks_per_day"]
 
 
@@ -128,13 +133,13 @@ DRIFT = f"""
 {PERIOD_DAYS},
 period_sessions AS (
   SELECT listener_id, period, session_id, CAST(min(first_play) AS DATE) AS date, hour(min(first_play)) AS hour,
-    (epoch_us(max(last_play)) - epoch_us(min(first_play))) / 6e7::DOUBLE AS minutes
+    epoch_us(max(last_play)) - epoch_us(min(first_play)) AS micros
   FROM period_days GROUP BY listener_id, period, session_id
 ), daily_sessions AS (
   SELECT listener_id, period, date, count(*) AS n FROM period_sessions GROUP BY ALL
 ), daily_tracks AS (
   SELECT listener_id, period, date, CAST(sum(n_plays) AS BIGINT) AS n FROM period_days GROUP BY ALL
-), d1 AS (SELECT listener_id, {_PARTS.format(v="minutes", n=_TWO[0])} FROM period_sessions GROUP BY ALL),
+), d1 AS (SELECT listener_id, {_LENGTHS} FROM period_sessions GROUP BY ALL),
 d2 AS (SELECT listener_id, {_PARTS.format(v="n", n=_TWO[1])} FROM daily_sessions GROUP BY ALL),
 d3 AS (SELECT listener_id, {_PARTS.format(v="n", n=_TWO[2])} FROM daily_tracks GROUP BY ALL),
 shares AS (
