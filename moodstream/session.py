@@ -29,10 +29,18 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def one_machine(master: str) -> bool:
+    """Whether driver and executors are one process, and so share every local folder."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named (tests, one machine)."""
+    """The folder in spark.checkpoint.dir. Where none is named: a temporary one on a single machine, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if not one_machine(master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share; the master is {master!r}")
         named = tempfile.mkdtemp(prefix="run-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
