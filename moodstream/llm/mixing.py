@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from moodstream.llm.shared import bound, stored, table, words
+from moodstream.llm.shared import bound, stored, table, unused, words
 
 #: Fractions that meet in one block of the tree, on average; the tree has log of the row count to this base levels.
 BLOCK = 64
@@ -158,6 +158,23 @@ def mixed(documents: DataFrame, seed: int = 7) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", "source", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def with_copies(documents: DataFrame, seed: int = 7, into: str = "mix") -> DataFrame:
+    """The rows of `documents` that the mix takes, with a struct `into` of size, source_size, target, copies and taken.
+
+    Rows alike in doc_id, source and size are one text; each of them is judged on its own.
+    """
+    unused(documents, into)
+    fields = ["size", "source_size", "target", "copies", "taken"]
+    took = mixed(documents, seed).where("copies > 0")
+    took = took.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.struct(*fields).alias(into))
+    sized = documents.withColumn("__size", F.size(words(F.col("text"))).cast("long"))
+    again = documents.groupBy("doc_id").count().where("count > 1")
+    if not again.isEmpty():  # texts are compared only where ids repeat
+        sized = sized.dropDuplicates(["doc_id", "source", "__size"])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s"))
+    return sized.join(took, same & (F.col("__size") == F.col("__z"))).drop("__d", "__s", "__z", "__size")
+
+
 def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
