@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moodstream.llm import decontaminate, lines, mixing, quality, simhash
+from moodstream.llm import chat, decontaminate, lines, mixing, quality, simhash, tokens, warc
 
-_SECTIONS = [quality, mixing, simhash, decontaminate, lines]
+_SECTIONS = [quality, warc, chat, tokens, mixing, simhash, decontaminate, lines]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
