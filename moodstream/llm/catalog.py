@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moodstream.llm import chat, decontaminate, lines, mixing, quality, simhash, tokens, warc
+from moodstream.llm import chat, decontaminate, lines, mixing, perplexity, quality, simhash, tokens, toxicity, warc
 
-_SECTIONS = [quality, warc, chat, tokens, mixing, simhash, decontaminate, lines]
+_SECTIONS = [quality, warc, toxicity, chat, tokens, mixing, simhash, decontaminate, lines, perplexity]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

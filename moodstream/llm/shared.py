@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from moodstream.session import fresh_dir
 
@@ -36,3 +37,8 @@ def unused(frame: DataFrame, *names: str) -> None:
     taken = {c.lower() for c in frame.columns} & {n.lower() for n in names}
     if taken:
         raise ValueError(f"columns {sorted(taken)} exist; name the result otherwise")
+
+
+def with_field(frame: DataFrame, name: str, kind: str) -> StructType:
+    """The schema of `frame` and one more field."""
+    return StructType(list(frame.schema.fields)).add(name, kind)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodstream.llm.hashing import pieces
-from moodstream.llm.shared import table, unused
+from moodstream.llm.shared import table, unused, with_field
 
 BLANK = "▁"
 LIMIT = 4096
@@ -218,8 +218,7 @@ def counted(documents: DataFrame, path: str, into: str = "n_tokens") -> DataFram
                 n = pa.array(count.counts(batch.column("text").to_pylist()), pa.int64())
                 yield pa.RecordBatch.from_arrays([*batch.columns, n], [*batch.schema.names, into])
 
-    schema = documents.schema.add(into, "long")
-    return documents.mapInArrow(each, schema)
+    return documents.mapInArrow(each, with_field(documents, into, "long"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
