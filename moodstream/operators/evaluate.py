@@ -31,7 +31,8 @@ def _range_edges(counts: DataFrame, ranges: int) -> list[float]:
     """Edges that cut the distinct scores into about equal ranges; any edges give the same metrics."""
     probs = [i / ranges for i in range(1, ranges)]
     cuts = counts.approxQuantile("y_proba", probs, 1.0 / (2 * ranges))
-    return [float("-inf"), *sorted(set(cuts)), float("inf")]
+    # Without scores any single edge will do.
+    return [float("-inf"), *(sorted(set(cuts)) or [0.5]), float("inf")]
 
 
 def ranking(counts: DataFrame, by: Sequence[str] = (), ranges: int = SCORE_RANGES) -> DataFrame:

@@ -88,8 +88,8 @@ def seed_tracks(history: DataFrame, n: int = SEED_TRACKS) -> DataFrame:
 
 
 def with_label(rows: DataFrame, moods: DataFrame, column: str = "mood_cluster_id") -> DataFrame:
-    """Adds the mood's label, or `Cluster <id>` for an unknown one. The cluster table has at most 15 rows."""
-    names = F.broadcast(moods.select(F.col("cluster_id").alias(column), "label").limit(16))
+    """Adds the mood's label, or `Cluster <id>` for an unknown one, whatever the number of labels."""
+    names = moods.select(F.col("cluster_id").alias(column), "label")
     fallback = F.concat(F.lit("Cluster "), F.col(column).cast("string"))
     return rows.join(names, column, "left").withColumn("mood_label", F.coalesce("label", fallback)).drop("label")
 

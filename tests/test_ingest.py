@@ -129,6 +129,15 @@ def test_stored_upsert(spark, make_plays):
     assert {r["track_id"] for r in store.scan_history(spark, path).collect()} == {"a", "c"}
 
 
+def test_stored_upsert_without_a_column(spark, make_plays):
+    path = fresh_dir(spark, "history")
+    store.update_history(spark, path, full(make_plays, [(1, 0, "a", 0, 1), (1, 60, "b", 0, 2)]))
+    bare = full(make_plays, [(1, 60, "b", 9, None), (1, 120, "new", 9, None)]).drop("mood_cluster_id")
+    store.update_history(spark, path, bare)
+    got = store.update_history(spark, path, full(make_plays, [(1, 180, "c", 0, 3)]))
+    assert {r["track_id"]: (r["session_id"], r["mood_cluster_id"]) for r in got.collect()} == {"a": (0, 1), "b": (9, 2), "c": (0, 3)}
+
+
 def test_latest_batch(spark, make_plays):
     folder = fresh_dir(spark, "ingestions")
     assert store.latest_batch(spark, folder) is None
