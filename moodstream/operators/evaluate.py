@@ -195,7 +195,7 @@ def hour_prior(labelled: DataFrame, target: str = TARGET) -> DataFrame:
 
 def with_hour_prior(scored: DataFrame, prior: DataFrame) -> DataFrame:
     """Adds `prior_proba` (0 for an hour never seen) and `prior_pred`. The prior has one row per hour of day."""
-    joined = scored.join(F.broadcast(prior.filter(F.col("hour").between(0, 23))), "hour", "left")
+    joined = scored.join(prior, "hour", "left")
     proba = F.coalesce("prior", F.lit(0.0))
     return joined.withColumns({"prior_proba": proba, "prior_pred": (proba >= 0.5).cast("int")}).drop("prior")
 

@@ -96,14 +96,16 @@ def _side_by_side(spark: SparkSession, task: Callable, items: Sequence) -> list:
         return pool.map(inheritable_thread_target(spark)(task), items)
 
 
-def _best_fit(vectors: DataFrame, k: int, starts: int, seed: int):
-    """The k-means model with the lowest cost among several starts; the first one wins a tie."""
+def _best_fits(vectors: DataFrame, ks: Sequence[int], starts: int, seed: int) -> list:
+    """For each k the k-means model with the lowest cost among several starts; the first one wins a tie."""
 
-    def fit(i: int):
-        return KMeans(k=k, seed=seed + i, weightCol="weight").fit(vectors)
+    def fit(task: tuple[int, int]):
+        k, start = task
+        return KMeans(k=k, seed=seed + start, weightCol="weight").fit(vectors)
 
-    fits = [fit(0)] if starts == 1 else _side_by_side(vectors.sparkSession, fit, range(starts))
-    return min(fits, key=lambda model: model.summary.trainingCost)
+    fits = _side_by_side(vectors.sparkSession, fit, [(k, start) for k in ks for start in range(starts)])
+    groups = [fits[at : at + starts] for at in range(0, len(fits), starts)]
+    return [min(group, key=lambda model: model.summary.trainingCost) for group in groups]
 
 
 def elbow(ks: Sequence[int], costs: Sequence[float]) -> int:
@@ -115,7 +117,7 @@ def elbow(ks: Sequence[int], costs: Sequence[float]) -> int:
 
 
 def choose_k(
-    vectors: DataFrame, n_rows: int, k_range: tuple[int, int] = K_RANGE, starts: int = 1, seed: int = SEED
+    vectors: DataFrame, n_rows: int, k_range: tuple[int, int] = K_RANGE, starts: int = STARTS, seed: int = SEED
 ) -> int:
     """Number of moods with the best silhouette over the sweep, else the elbow of the cost."""
     low = max(k_range[0], 2)
@@ -124,13 +126,14 @@ def choose_k(
         return max(low, 3)
     judge = ClusteringEvaluator(weightCol="weight")
 
-    def trial(k: int) -> tuple[float, float]:
-        model = _best_fit(vectors, k, starts, seed)
-        silhouette = judge.evaluate(model.transform(vectors)) if n_rows >= 2 * k else -1.0
-        return model.summary.trainingCost, silhouette
-
     ks = list(range(low, high + 1))
-    costs, scores = zip(*_side_by_side(vectors.sparkSession, trial, ks), strict=True)
+    fits = _best_fits(vectors, ks, starts, seed)
+
+    def silhouette(at: int) -> float:
+        return judge.evaluate(fits[at].transform(vectors)) if n_rows >= 2 * ks[at] else -1.0
+
+    costs = [model.summary.trainingCost for model in fits]
+    scores = _side_by_side(vectors.sparkSession, silhouette, range(len(ks)))
     best = max(scores)
     return ks[scores.index(best)] if best > 0 else elbow(ks, costs)
 
@@ -149,8 +152,8 @@ def fit_moods(
         n_rows = int(vectors.agg(F.sum("weight")).first()[0] or 0)
         if n_rows < 3:
             raise ValueError(f"too few plays with features: {n_rows}")
-        chosen = k or choose_k(vectors, n_rows, k_range, seed=seed)
-        centers = _best_fit(vectors, chosen, starts, seed).clusterCenters()
+        chosen = k or choose_k(vectors, n_rows, k_range, starts, seed)
+        centers = _best_fits(vectors, [chosen], starts, seed)[0].clusterCenters()
     finally:
         vectors.unpersist()
     rows = [(i, *[float(x) for x in center]) for i, center in enumerate(centers)]

@@ -28,8 +28,10 @@ def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], hot: int
     values = [c for c in table.columns if c not in keys]
     frequent = hot_keys(rows, keys, hot)
     entries = table.join(F.broadcast(frequent), keys, "left_semi").select(*keys, F.struct(*values).alias("_entry"))
+    several = F.raise_error(F.lit("the table of a lookup has a key in several rows"))
+    entries = entries.groupBy(*keys).agg(F.when(F.count("*") == 1, F.first("_entry")).otherwise(several).alias("_entry"))
     # Both sides have at most `hot` rows.
-    known = frequent.join(F.broadcast(entries.limit(hot)), keys, "left")
+    known = frequent.join(F.broadcast(entries), keys, "left")
     known = known.select(*keys, "_entry", F.lit(True).alias("_hot"))
     marked = rows.join(F.broadcast(known), keys, "left")
     keyless = F.lit(False)

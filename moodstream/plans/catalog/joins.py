@@ -142,10 +142,10 @@ _NEW = f"""
 
 SQL = {
     "C1_unseen_plays": f"""
-SELECT listener_id, track_id, played_at, event_id FROM plays b
-WHERE played_at >= '{BATCH_FROM}' AND NOT EXISTS (
-  SELECT 1 FROM plays h WHERE h.played_at < '{HISTORY_TO}' AND h.listener_id = b.listener_id
-    AND h.track_id = b.track_id AND h.played_at = b.played_at)""",
+SELECT listener_id, track_id, played_at, event_id
+FROM (SELECT listener_id, track_id, played_at, event_id FROM plays WHERE played_at >= '{BATCH_FROM}')
+ANTI JOIN (SELECT DISTINCT listener_id, track_id, played_at FROM plays WHERE played_at < '{HISTORY_TO}')
+USING (listener_id, track_id, played_at)""",
     "C2_feature_enrichment": f"""
 SELECT e.event_id, {r6("tempo")}, {FEATURES_R6}
 FROM plays_ids e LEFT JOIN (SELECT * FROM tracks WHERE style <> 3) USING (track_id)""",
