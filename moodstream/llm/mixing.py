@@ -155,24 +155,32 @@ def mixed(documents: DataFrame, seed: int = 7) -> DataFrame:
     each = done.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
     copies = F.when(F.col("size") > 0, F.col("base") + (F.col("k") <= F.col("ups")).cast("long")).otherwise(0)
     each = each.withColumn("copies", copies.cast("long"))
-    return each.select("doc_id", "size", "source_size", "target", "source", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return each.select("doc_id", "size", "source_size", "target", "source", "k", "copies", taken)
 
 
 def with_copies(documents: DataFrame, seed: int = 7, into: str = "mix") -> DataFrame:
     """The rows of `documents` that the mix takes, with a struct `into` of size, source_size, target, copies and taken.
 
-    Rows alike in doc_id, source and size are one text; each of them is judged on its own.
+    Rows alike in doc_id, source and size are told apart by a number in the order of their texts' hashes; each is judged
+    on its own.
     """
     unused(documents, into)
     fields = ["size", "source_size", "target", "copies", "taken"]
     took = mixed(documents, seed).where("copies > 0")
-    took = took.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.struct(*fields).alias(into))
+    took = took.select(
+        F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("k").alias("__n"),
+        F.struct(*fields).alias(into),
+    )
     sized = documents.withColumn("__size", F.size(words(F.col("text"))).cast("long"))
     again = documents.groupBy("doc_id").count().where("count > 1")
-    if not again.isEmpty():  # texts are compared only where ids repeat
-        sized = sized.dropDuplicates(["doc_id", "source", "__size"])
+    number = F.lit(1)
+    if not again.isEmpty():  # rows are numbered only where ids repeat
+        number = F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text")))
+    sized = sized.withColumn("__k", number.cast("long"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s"))
-    return sized.join(took, same & (F.col("__size") == F.col("__z"))).drop("__d", "__s", "__z", "__size")
+    same = same & (F.col("__size") == F.col("__z")) & (F.col("__k") == F.col("__n"))
+    return sized.join(took, same).drop("__d", "__s", "__z", "__n", "__size", "__k")
 
 
 def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,11 @@ def test_mixing(spark, odd):
     few = mixing.mixed(odd).collect()
     assert len(few) == len(ODD) and all(r.taken <= 3 * r.size for r in few)
     assert mixing.mixed(odd.limit(0)).count() == 0
+    # Different texts of one id, source and size are rows of their own.
+    alike = spark.createDataFrame([(1, f"w{i} x", "en", "a", 0) for i in range(5)] + [(2, "y " * 10, "en", "b", 0)], DOCS)
+    got = mixing.with_copies(alike, into="m").select("text", "m.*").collect()
+    rows = mixing.mixed(alike).where("copies > 0").collect()
+    assert len({r.text for r in got}) == len(got) == len(rows) and sum(r.taken for r in got) == sum(r.taken for r in rows)
 
 
 def test_decontamination(spark, odd):
