@@ -4,6 +4,7 @@ import math
 import re
 import unicodedata
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,7 @@ _LETTERS = str.maketrans(HOMOGLYPHS) | _INVISIBLE
 _DIGITS = str.maketrans(SUBSTITUTES)
 _TOKEN = re.compile(r"[^\W_]+(?:[@$]+[^\W_]+)*")
 _HAS_LETTER = re.compile(r"[^\W\d_]")
+_DISGUISED = re.compile(f"[{''.join(map(chr, _LETTERS))}]")
 
 
 def folded(text: str | None) -> list[str]:
@@ -37,8 +39,11 @@ def folded(text: str | None) -> list[str]:
 
     Digits and signs stand for letters only in words that have a letter, and signs only inside of them.
     """
-    plain = unicodedata.normalize("NFKC", text or "").lower().translate(_LETTERS)
-    return [t.translate(_DIGITS) if _HAS_LETTER.search(t) else t for t in _TOKEN.findall(plain)]
+    plain = unicodedata.normalize("NFKC", text or "").lower()
+    if not plain.isascii() and _DISGUISED.search(plain):
+        plain = plain.translate(_LETTERS)
+    # Most words are letters alone and have nothing to undo.
+    return [t if t.isalpha() or not _HAS_LETTER.search(t) else t.translate(_DIGITS) for t in _TOKEN.findall(plain)]
 
 
 @dataclass(frozen=True)
@@ -64,12 +69,12 @@ def _hits(automaton, lexicon: Lexicon, words: list[str]) -> list[tuple[str, int]
     """(stem, place of its word) of every hit outside exception phrases; the longest stem of a word counts."""
     if not lexicon.stems or not words:
         return []
-    starts, best = {}, {}
-    at = 0
-    for k, w in enumerate(words):
-        starts[at] = k
-        at += len(w) + 1
-    for end, stem in automaton.iter(" " + " ".join(words)):
+    found = list(automaton.iter(" " + " ".join(words)))
+    if not found:
+        return []
+    best = {}
+    starts = {at: k for k, at in enumerate(accumulate((len(w) + 1 for w in words), initial=0))}
+    for end, stem in found:
         k = starts[end - len(stem)]
         if len(stem) > len(best.get(k, "")):
             best[k] = stem
@@ -155,7 +160,8 @@ def learned(documents: DataFrame, labels: DataFrame) -> Lexicon:
     def measured(batches):
         for whole in batches:
             for batch in pieces(whole, "text"):
-                x = [_features(automaton(lexicon), lexicon, folded(t)) for t in batch.column("text").to_pylist()]
+                built = automaton(lexicon)
+                x = [_features(built, lexicon, folded(t)) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in x]), pa.array([b for _, b in x]), batch.column("toxic").cast(pa.int32())], ["a", "b", "y"])
 
     points = rows.select("text", "toxic").mapInArrow(measured, "a double, b double, y int")
@@ -201,7 +207,8 @@ def scored(documents: DataFrame, lexicon: Lexicon, into: str = "score") -> DataF
 
     def each(texts: pd.Series) -> pd.Series:
         a, b, c = lexicon.fit
-        found = [_features(automaton(lexicon), lexicon, folded(t)) for t in texts]
+        built = automaton(lexicon)
+        found = [_features(built, lexicon, folded(t)) for t in texts]
         return pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, a * x + b * y + c)))) for x, y in found], dtype=float)
 
     return documents.withColumn(into, F.pandas_udf(each, "double")("text"))
