@@ -184,3 +184,15 @@ def test_nanosecond_stamps(spark):
     pq.write_table(table, path, version="2.6")
     got = store.scan_nanosecond_history(spark, path).withColumn("t", F.unix_micros("played_at")).collect()
     assert got[0]["t"] == 1709251200123456
+
+
+def test_lookup_refuses_a_key_in_several_rows(spark):
+    import pytest
+
+    from moodstream.operators.skew import lookup_join
+
+    rows = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
+    table = spark.createDataFrame([("a", 1)], "k string, v int")
+    assert sorted((r.k or "", r.v or 0) for r in lookup_join(rows, table, ["k"]).collect()) == [("", 0), ("a", 1), ("a", 1)]
+    with pytest.raises(Exception, match="several rows"):
+        lookup_join(rows, table.union(table), ["k"]).collect()
