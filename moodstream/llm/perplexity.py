@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodstream.llm.hashing import bitmap, in_map, pieces
+from moodstream.llm.hashing import MAP_BITS, bitmap, in_map, pieces
 from moodstream.llm.shared import stored, table, unused, with_field
 
 ORDER = 4
@@ -218,19 +218,60 @@ def scored(documents: DataFrame, model: DataFrame, into: str = "perplexity") ->
     return _scored_by_join(documents, model, into)
 
 
-def trusted_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that some row of `labels` (doc_id, quality) calls good. A bitmap of fixed size keeps most others out of the join."""
+def _maps(good: DataFrame, documents: DataFrame, bits: int) -> list[np.ndarray] | None:
+    """Maps of fixed size that together tell the ids of `good` from all others of `documents`, without an error.
+
+    The first holds the good ids, the second the others that the first lets through, the third the good ones that the
+    second lets through, and so on until nothing is let through. None if a map is over half full: then they do not pay.
+    """
+    maps: list[np.ndarray] = []
+    inside, outside = good, documents
+    while True:
+        level = F.lit(len(maps))
+        maps.append(bitmap(inside.select(F.xxhash64("doc_id", level).alias("h")), "h", bits))
+        if 2 * int(np.bitwise_count(maps[-1]).sum()) > 1 << bits:
+            return None
+        sent = documents.sparkSession.sparkContext.broadcast(maps[-1])
+
+        def each(batches, sent=sent):
+            for batch in batches:
+                hashes = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+                yield batch.select(["doc_id"]).filter(pa.array(in_map(sent.value, hashes)))
+
+        passed = outside.select("doc_id", F.xxhash64("doc_id", level).alias("h")).mapInArrow(each, "doc_id long")
+        if len(maps) == 1:
+            passed = passed.join(good, "doc_id", "left_anti").distinct()
+        passed = stored(passed, f"let-through-{len(maps)}")
+        if passed.isEmpty():
+            return maps
+        inside, outside = passed, inside
+
+
+def trusted_texts(documents: DataFrame, labels: DataFrame, bits: int = MAP_BITS) -> DataFrame:
+    """(doc_id, lang, text) of documents that some row of `labels` (doc_id, quality) calls good.
+
+    Only ids are shuffled: texts are picked where they are read, by maps of 2^bits bits that make no error on these
+    ids. With more good ids than such maps can hold, texts are joined to the ids, and stored as that moves them.
+    """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    good = stored(good.withColumn("h", F.xxhash64("doc_id")), "good")
-    found = documents.sparkSession.sparkContext.broadcast(bitmap(good, "h"))
+    good = stored(good, "good")
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("doc_id is not null")
+    maps = _maps(good, source.select("doc_id"), bits)
+    if maps is None:
+        return stored(source.join(good, "doc_id", "left_semi"), "trusted")
+    sent = documents.sparkSession.sparkContext.broadcast(maps)
 
     def each(batches):
         for batch in batches:
-            hashes = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
-            yield batch.filter(pa.array(in_map(found.value, hashes)))
+            open_ = np.ones(batch.num_rows, bool)
+            passed = np.zeros(batch.num_rows, np.int64)
+            for level, found in enumerate(sent.value):
+                open_ &= in_map(found, batch.column(f"h{level}").to_numpy(zero_copy_only=False).view(np.uint64))
+                passed += open_
+            yield batch.select(["doc_id", "lang", "text"]).filter(pa.array(passed % 2 == 1))
 
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
-    return source.mapInArrow(each, source.schema).drop("h").join(good.select("doc_id"), "doc_id", "left_semi")
+    hashes = [F.xxhash64("doc_id", F.lit(level)).alias(f"h{level}") for level in range(len(maps))]
+    return source.select("*", *hashes).mapInArrow(each, source.schema)
 
 
 def judged(documents: DataFrame, labels: DataFrame, into: str = "language_model") -> DataFrame:
@@ -242,7 +283,7 @@ def judged(documents: DataFrame, labels: DataFrame, into: str = "language_model"
     others are kept. Repeated rows are judged alike.
     """
     unused(documents, into)
-    trusted = stored(trusted_texts(documents, labels), "trusted")
+    trusted = trusted_texts(documents, labels)
     model = trained(trusted)
     rated = stored(scored(trusted, model, "perplexity").select("lang", "perplexity"), "trusted-perplexity").where("perplexity is not null")
     limits = rated.groupBy("lang").agg(F.percentile_approx("perplexity", QUANTILE, 10_000).alias("limit"), F.count("*").alias("n"))

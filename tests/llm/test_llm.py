@@ -307,6 +307,19 @@ def test_kneser_ney(spark):
     assert verdict[1] and verdict[4] is False and verdict[5] is False
 
 
+@pytest.mark.parametrize("bits", [24, 13, 6])
+def test_trusted_texts_are_exactly_the_good_ones(spark, bits):
+    rows = [(i if i % 100 else None, "x", f"t{i}") for i in range(4000)] + [(7, "y", "again"), (7, "y", None)]
+    texts = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    marks = [(i, int(i % 3 == 1)) for i in range(0, 6000)] + [(4, 0), (None, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    got = perplexity.trusted_texts(texts, labels, bits).collect()
+    good = {i for i, q in marks if q}
+    assert collections.Counter(map(tuple, got)) == collections.Counter(r for r in rows if r[0] is not None and r[0] in good)
+    assert perplexity.trusted_texts(texts.limit(0), labels, bits).count() == 0
+    assert perplexity.trusted_texts(texts, labels.limit(0), bits).count() == 0
+
+
 @pytest.mark.parametrize("key", sorted(catalog.all_sql()))
 def test_query_equals_sql(spark, key):
     problem, _ = check_sql.compare(spark, check_sql.connect(SF), SF, catalog.all_queries()[key], catalog.all_sql()[key])
