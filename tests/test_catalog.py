@@ -43,6 +43,22 @@ def test_query_equals_sql(spark, con, key):
     assert problem is None
 
 
+@pytest.mark.parametrize("key, job", [("J2_full_retrain", "run_full_retrain"), ("J3_bootstrap", "run_bootstrap")])
+def test_whole_jobs_are_registered_at_full_size(spark, monkeypatch, key, job):
+    from moodstream.plans import jobs
+
+    class Begun(Exception):
+        pass
+
+    def begun(*given):
+        raise Begun([g for g in given if isinstance(g, jobs.Sizes)])
+
+    monkeypatch.setattr(jobs, job, begun)
+    with pytest.raises(Begun) as seen:
+        entry.queries()[key](spark, SF)
+    assert seen.value.args[0] == [jobs.Sizes()]
+
+
 def test_entry(spark):
     rows = entry.entry(spark)
     assert rows.columns == ["listener_id", "hour", "sessions", "share"] and rows.count() % 24 == 0
