@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from moodstream.llm import catalog, chat, decontaminate, lines, mixing, perplexity, quality, simhash, tokens, toxicity, warc
+from moodstream.llm import catalog, chat, decontaminate, lines, mixing, perplexity, quality, similar, simhash, tokens, toxicity, warc
 from moodstream.session import fresh_dir
 
 SF = "/root/testdata/sf0.001"
@@ -113,6 +113,30 @@ def test_near_duplicates(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_similar_sets_against_brute_force(spark, odd):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(30):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([3, 12, 60, 300]))]
+        for changes in (0, 1, 2, 3, 6):
+            near = list(base)
+            for _ in range(changes):
+                near[rng.randrange(len(near))] = f"x{rng.randrange(9)}"
+            texts.append(" ".join(near).upper() if rng.random() < 0.2 else " ".join(near))
+
+    def shingled(text):
+        found = WORD.findall(text.lower())
+        return frozenset(tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4)))
+
+    sets = [shingled(t) for t in texts]
+    groups = _groups(range(len(sets)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert kept == {groups.index(g) for g in groups}
+    out = similar.one_of_each(odd)
+    assert out.columns == odd.columns and sorted(r.doc_id for r in out.where("doc_id is not null").collect()) == [1, 4, 5, 6, 7]
+
+
 def test_mixing(spark, odd):
     random.seed(1)
     many = [(i, "w " * random.randint(1, 60), "en", random.choice("abcc") if i % 9 else None, 0) for i in range(1500)]
