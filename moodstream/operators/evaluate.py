@@ -1,24 +1,23 @@
 """Scores against truth: ranking metrics, thresholds, calibration, baselines.
 
 A scored table has `target_session_start` (0 or 1), `y_pred`, `y_proba`, and the columns named in `by`. Rows are first
-combined per distinct score, then ordered inside quantile ranges of the score; only one row per range is ordered as a
-whole. So neither a frequent score nor a long table lands in one task.
+combined per distinct score, then ordered inside ranges of the score; only one row per range is ordered as a whole. So
+neither a frequent score nor a long table lands in one task.
 """
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moodstream.operators.ranges import running
+
 TARGET = "target_session_start"
 # Thresholds of the F1 table, number of calibration bins, hours of the times of day.
 THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 CALIBRATION_BINS = 10
 TIMES_OF_DAY = {"morning": (6, 11), "afternoon": (12, 17), "evening": (18, 23), "night": (0, 5)}
 
-SCORE_RANGES = 256
-
 
 def score_counts(scored: DataFrame, by: Sequence[str] = (), target: str = TARGET) -> DataFrame:
     """Rows and positives per distinct score."""
@@ -27,43 +26,9 @@ def score_counts(scored: DataFrame, by: Sequence[str] = (), target: str = TARGET
     )
 
 
-def _range_edges(counts: DataFrame, ranges: int) -> list[float]:
-    """Edges that cut the distinct scores into about equal ranges; any edges give the same metrics."""
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = counts.approxQuantile("y_proba", probs, 1.0 / (2 * ranges))
-    # Without scores any single edge will do.
-    return [float("-inf"), *(sorted(set(cuts)) or [0.5]), float("inf")]
-
-
-def ranking(counts: DataFrame, by: Sequence[str] = (), ranges: int = SCORE_RANGES) -> DataFrame:
+def ranking(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Adds to each distinct score the rows and positives at that score or higher (`_rows_up`, `_hits_up`)."""
-    by = list(by)
-    bucketizer = Bucketizer(splits=_range_edges(counts, ranges), inputCol="y_proba", outputCol="_range")
-    placed = bucketizer.transform(counts)
-    inside = Window.partitionBy(*by, "_range").orderBy(F.desc("y_proba"))
-    local = placed.withColumns(
-        {
-            "_rows_up": F.sum("_rows").over(inside),
-            "_hits_up": F.sum("_hits").over(inside),
-        }
-    )
-    higher = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*by, "_range").agg(F.sum("_rows").alias("_r"), F.sum("_hits").alias("_h"))
-    offsets = totals.select(
-        *by,
-        "_range",
-        F.coalesce(F.sum("_r").over(higher), F.lit(0)).alias("_rows_above"),
-        F.coalesce(F.sum("_h").over(higher), F.lit(0)).alias("_hits_above"),
-    )
-    joined = local.join(offsets, [*by, "_range"])
-    return joined.select(
-        *by,
-        "y_proba",
-        "_rows",
-        "_hits",
-        (F.col("_rows_up") + F.col("_rows_above")).alias("_rows_up"),
-        (F.col("_hits_up") + F.col("_hits_above")).alias("_hits_up"),
-    )
+    return running(counts, [F.desc("y_proba")], {"_rows_up": "_rows", "_hits_up": "_hits"}, by)
 
 
 def ranking_metrics(scored: DataFrame, by: Sequence[str] = (), target: str = TARGET) -> DataFrame:
@@ -74,8 +39,8 @@ def ranking_metrics(scored: DataFrame, by: Sequence[str] = (), target: str = TAR
     curve = ranking(score_counts(scored, by, target), by)
     misses = F.col("_rows") - F.col("_hits")
     sums = curve.groupBy(*by).agg(
-        F.sum("_rows").alias("n_samples"),
-        F.sum("_hits").alias("n_positive"),
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("n_samples"),
+        F.coalesce(F.sum("_hits"), F.lit(0)).alias("n_positive"),
         F.sum(F.col("_hits") * (F.col("_hits_up") / F.col("_rows_up"))).alias("_precision"),
         F.sum(misses * (F.col("_hits_up") - F.col("_hits") / 2)).alias("_wins"),
         F.sum(misses).alias("_misses"),

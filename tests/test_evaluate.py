@@ -45,10 +45,16 @@ def test_ranking_matches_brute_force(make_scored, digits):
     pairs = [(t, p) for _, _, t, p in rows]
     got = evaluate.ranking_metrics(make_scored(rows)).first()
     assert got["pr_auc"] == pytest.approx(brute_ap(pairs)) and got["roc_auc"] == pytest.approx(brute_auc(pairs))
-    few = evaluate.ranking(evaluate.score_counts(make_scored(rows)), ranges=3).orderBy("y_proba").first()
+    few = evaluate.ranking(evaluate.score_counts(make_scored(rows))).orderBy("y_proba").first()
     assert few["_rows_up"] == len(rows) and few["_hits_up"] == sum(t for t, _ in pairs)
 
 
+def test_no_rows_give_zeros(make_scored):
+    got = evaluate.ranking_metrics(make_scored([])).first()
+    assert tuple(got) == (0.0, 0.0, 0, 0)
+    assert evaluate.ranking_metrics(make_scored([]), ["hour"]).count() == 0
+
+
 def test_one_class_only(make_scored):
     none = evaluate.ranking_metrics(make_scored([(1, 0, 0, 0.2), (1, 0, 0, 0.9)])).first()
     assert (none["pr_auc"], none["roc_auc"]) == (0.0, 0.0)
