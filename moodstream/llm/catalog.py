@@ -6,9 +6,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moodstream.llm import chat, decontaminate, lines, mixing, perplexity, quality, resample, search, simhash, tokens, toxicity, warc
+from moodstream.llm import chat, decontaminate, lines, mixing, perplexity, pii, quality, resample, search, simhash, tokens, toxicity, warc
 
-_SECTIONS = [quality, warc, toxicity, chat, tokens, mixing, simhash, decontaminate, lines, perplexity, search, resample]
+_SECTIONS = [quality, warc, toxicity, chat, tokens, mixing, simhash, decontaminate, lines, perplexity, search, resample, pii]
 
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
