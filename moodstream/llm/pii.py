@@ -425,9 +425,9 @@ def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = marked(documents, learned(documents)).select("doc_id", "private")
-    base = F.filter("private", lambda s: s["base"])
-    rows = rows.withColumn("base", base)
-    counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    rows = rows.withColumn("base", F.filter("private", lambda s: s["base"]))
+    kinds = F.col("base.kind")
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
     added = (F.size("private") - F.size("base")).cast("long").alias("n_added")
     return rows.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("private")).alias("spans"), added)
 
