@@ -15,7 +15,7 @@ from moodstream.llm.lines import deduplicated
 from moodstream.llm.mixing import with_copies
 from moodstream.llm.quality import judged
 from moodstream.llm.shared import stored, table
-from moodstream.llm.similar import one_of_each
+from moodstream.llm.simhash import one_of_each
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """One document of each group of near duplicates: SimHash of three-word shingles, linked at two bits or fewer."""
     return one_of_each(docs)
 
 
@@ -65,5 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: SimHash's 64-bit hashes and the rounding's draws have no DuckDB form; tests compare the stages with brute force.
+#: SimHash's 64-bit hashes and the rounding's draws have no DuckDB form; tests compare each stage with plain Python.
 ORACLE_SQL = None
