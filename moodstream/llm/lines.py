@@ -4,11 +4,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodstream.llm.hashing import Tokens, _powers, bitmap, in_map, mix, pieces
-from moodstream.llm.shared import stored, table, unused
+from moodstream.llm.shared import bound, stored, table, unused
 
 MIN_WORDS = 8
 #: Bytes inside words; 0 for what stands between them. The zero byte stands as a blank, which no word holds.
@@ -206,6 +206,16 @@ def near_lines(documents: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataF
     return firsts, stored(pairs.where(F.pandas_udf(_one_apart, "boolean")("words", "other")).select("k1", "k2").distinct(), "near-lines")
 
 
+def _may_be_in(keys: DataFrame, key: Column) -> Column:
+    """Whether a row's key may be one of `keys`, by a bitmap of fixed size: the texts of most others need no shuffle."""
+    found = keys.sparkSession.sparkContext.broadcast(bitmap(keys, "key"))
+
+    def each(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_map(found.value, hashes.to_numpy(np.int64).view(np.uint64)), dtype=bool)
+
+    return F.pandas_udf(each, "boolean")(key)
+
+
 def deduplicated(documents: DataFrame, into: str = "lines") -> DataFrame:
     """`documents` (doc_id, text, any others) with `text` cut to the lines that are kept, and a struct `into`.
 
@@ -216,7 +226,7 @@ def deduplicated(documents: DataFrame, into: str = "lines") -> DataFrame:
     null and have no lines; an empty text is one line without a word. Rows alike in doc_id and text are one document,
     returned as often as given. No two lines are paired but a line and the earliest one near it.
     """
-    unused(documents, into)
+    unused(documents, into, "__d", "__t", "__dropped")
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     lines = stored(_hashed(source), "lines")
     firsts, near = near_lines(source, lines)
@@ -228,14 +238,18 @@ def deduplicated(documents: DataFrame, into: str = "lines") -> DataFrame:
     dropped = dropped.select(
         F.when(~F.col("none"), F.col("doc_id")).alias("__d"), F.col("text_hash").alias("__t"), F.sort_array("__dropped").alias("__dropped")
     )
+    dropped = stored(dropped, "dropped-lines")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
-    out = documents.join(dropped, same, "left").drop("__d", "__t")
+    cut_ones = _may_be_in(dropped.select(F.xxhash64("__d", "__t").alias("key")), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    whole = documents.where(~cut_ones).withColumn("__dropped", F.lit(None).cast("array<int>"))
+    out = documents.where(cut_ones).join(dropped, same, "left").drop("__d", "__t").unionByName(whole)
     gone = F.coalesce("__dropped", F.array().cast("array<int>"))
-    out = out.withColumn("__all", F.split("text", "\n")).withColumn("__n", F.when(F.col("text").isNull(), 0).otherwise(F.size("__all")))
-    left = F.array_except(F.sequence(F.lit(0), F.col("__n") - 1), gone)
-    cut = F.array_join(F.transform(left, lambda i: F.get("__all", i)), "\n")
+    every = F.split("text", "\n")
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(every))
+    left = F.array_except(F.sequence(F.lit(0), count - 1), gone)
+    cut = bound(every, lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     text = F.when(F.size(gone) > 0, cut).otherwise(F.col("text"))
-    struct = F.struct(F.col("__n").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))
+    struct = F.struct(count.cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))
     names = [text.alias("text") if c == "text" else F.col(c) for c in documents.columns]
     return out.select(*names, struct.alias(into))
 
