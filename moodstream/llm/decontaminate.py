@@ -11,6 +11,8 @@ from moodstream.llm.shared import stored, table, unused
 
 WINDOW = 13
 SHINGLE = 3
+#: Bytes of text that a task hashes at once, which bounds the memory of its tables of powers and sums.
+PIECE = 1 << 20
 #: Bytes inside words: digits, small letters, all that is not ASCII; capitals stand as small letters. 0 is between words.
 KINDS = np.zeros(256, np.uint8)
 KINDS[0x30:0x3A] = np.arange(0x30, 0x3A)
@@ -28,7 +30,7 @@ def item_windows(items: DataFrame) -> DataFrame:
 
     def each(batches):
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE):
                 found = Tokens(batch.column("text"), KINDS)
                 shingled = {k: found.shingles(k).view(np.int64) for k in range(1, SHINGLE + 1)}
                 ids = batch.column("item_id").to_pylist()
@@ -55,7 +57,7 @@ def _frequencies(documents: DataFrame, shingles: DataFrame, sizes: list[int]) ->
 
     def each(batches):
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE):
                 tokens = Tokens(batch.column("text"), KINDS)
                 got = [h[in_map(found.value, h) & (h != 0)] for h in (tokens.shingles(k) for k in sizes)]
                 values, counts = np.unique(np.concatenate(got), return_counts=True)
@@ -73,7 +75,7 @@ def _candidates(documents: DataFrame, prefixes: DataFrame, sizes: list[int]) ->
 
     def each(batches):
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE):
                 tokens = Tokens(batch.column("text"), KINDS)
                 ids, keys = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
                 rows = [(ids[d], keys[d], int(n), None, None, None, None) for d, n in enumerate(tokens.counts)]

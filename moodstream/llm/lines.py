@@ -11,6 +11,8 @@ from moodstream.llm.hashing import Tokens, _powers, bitmap, in_map, mix, pieces
 from moodstream.llm.shared import bound, stored, table, unused
 
 MIN_WORDS = 8
+#: Bytes of text that a task hashes at once, which bounds the memory of its tables of powers and sums.
+PIECE = 1 << 20
 #: Bytes inside words; 0 for what stands between them. The zero byte stands as a blank, which no word holds.
 KINDS = np.arange(256).astype(np.uint8)
 KINDS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
@@ -63,7 +65,7 @@ def _hashed(documents: DataFrame) -> DataFrame:
 
     def each(batches):
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE):
                 lines, row, number = _lines_of(batch)
                 tokens = Tokens(lines, KINDS)
                 n = tokens.counts
@@ -101,7 +103,7 @@ def _texts_of(documents: DataFrame, suspects: DataFrame) -> DataFrame:
 
     def each(batches):
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE):
                 lines, row, number = _lines_of(batch)
                 tokens = Tokens(lines, KINDS)
                 k1, k2 = _keys(tokens)
@@ -135,7 +137,7 @@ def _variants(texts: DataFrame) -> DataFrame:
 
     def each(batches):
         for whole in batches:
-            for batch in pieces(whole, "words"):
+            for batch in pieces(whole, "words", PIECE):
                 tokens = Tokens(batch.column("words"), KINDS)
                 runs = _Runs(tokens.hashes)
                 out, size = [], 0
