@@ -31,6 +31,12 @@ def with_display_names(plays: DataFrame) -> DataFrame:
     )
 
 
+def newest_plays(history: DataFrame, n: int = RECENT_PLAYS) -> DataFrame:
+    """The newest `n` plays of each listener, whole; of more of them, and of these joined with others, again the newest."""
+    newest = Window.partitionBy("listener_id").orderBy(F.desc("played_at"), F.desc("track_id"))
+    return history.withColumn("_place", F.row_number().over(newest)).filter(F.col("_place") <= n).drop("_place")
+
+
 def recently_played(history: DataFrame, limit: int = RECENT_PLAYS) -> DataFrame:
     """The newest plays of each listener with `place` 1 for the newest; cut to the limit before the shuffle too."""
     newest = Window.partitionBy("listener_id").orderBy(F.desc("played_at"), F.desc("track_id"))
@@ -83,10 +89,38 @@ def seed_tracks(history: DataFrame, n: int = SEED_TRACKS) -> DataFrame:
         .groupBy("listener_id", "mood_cluster_id", "track_id")
         .agg(F.max("played_at").alias("last_played_at"))
     )
+    return _newest_seeds(tracks, n)
+
+
+def _newest_seeds(tracks: DataFrame, n: int) -> DataFrame:
     newest = Window.partitionBy("listener_id", "mood_cluster_id").orderBy(F.desc("last_played_at"), "track_id")
     return tracks.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= n)
 
 
+def joined_seeds(one: DataFrame, other: DataFrame, n: int = SEED_TRACKS) -> DataFrame:
+    """The seeds of two parts of a history, from the seeds of each."""
+    both = one.unionByName(other).groupBy("listener_id", "mood_cluster_id", "track_id")
+    return _newest_seeds(both.agg(F.max("last_played_at").alias("last_played_at")), n)
+
+
+def track_catalogue(history: DataFrame) -> DataFrame:
+    """One row per track: the features of its newest play that has them all, and the names of its newest play."""
+    complete = F.lit(True)
+    for name in FEATURES:
+        complete = complete & F.col(name).isNotNull()
+    texts = ("track_name", "artist_name", "image_url")
+    names = [F.col(n) if n in history.columns else F.lit(None).cast("string").alias(n) for n in texts]
+    return history.groupBy("track_id").agg(
+        F.max(F.when(complete, F.struct("played_at", *FEATURES))).alias("sound"),
+        F.max(F.struct("played_at", *names)).alias("names"),
+    )
+
+
+def joined_catalogues(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The catalogue of two parts of a history, from the catalogue of each."""
+    return one.unionByName(other).groupBy("track_id").agg(F.max("sound").alias("sound"), F.max("names").alias("names"))
+
+
 def with_label(rows: DataFrame, moods: DataFrame, column: str = "mood_cluster_id") -> DataFrame:
     """Adds the mood's label, or `Cluster <id>` for an unknown one, whatever the number of labels."""
     names = moods.select(F.col("cluster_id").alias(column), "label")
@@ -107,14 +141,9 @@ def _query_points(points: Sequence[dict]) -> list[tuple[int, int, list[Column]]]
     return queries
 
 
-def nearest_tracks(history: DataFrame, points: Sequence[dict], n: int) -> DataFrame:
-    """The `n` catalogue tracks nearest to each query (mood and variant); history is reduced to distinct tracks first."""
-    catalogue = (
-        history.na.drop(subset=FEATURES)
-        .groupBy("track_id")
-        .agg(F.max(F.struct("played_at", *FEATURES)).alias("_latest"))
-        .select("track_id", "_latest.*")
-    )
+def nearest_tracks(catalogue: DataFrame, points: Sequence[dict], n: int) -> DataFrame:
+    """The `n` catalogue tracks nearest to each query (mood and variant)."""
+    catalogue = catalogue.where("sound is not null").select("track_id", "sound.*")
     here = [F.col(name) for name in FEATURES]
     offers = F.array(
         *[
@@ -131,16 +160,23 @@ def nearest_tracks(history: DataFrame, points: Sequence[dict], n: int) -> DataFr
     return rows.withColumn("_place", F.row_number().over(near)).filter(F.col("_place") <= n).drop("_place")
 
 
-def recommend(history: DataFrame, wanted: DataFrame, points: Sequence[dict]) -> DataFrame:
+def recommend(
+    history: DataFrame,
+    wanted: DataFrame,
+    points: Sequence[dict],
+    catalogue: DataFrame | None = None,
+    seeds: DataFrame | None = None,
+) -> DataFrame:
     """Per listener and wanted mood, the nearest track of each query variant that is not one of the seeds.
 
     `wanted` has `listener_id` and `mood_cluster_id`. Since there are at most SEED_TRACKS seeds, the nearest
     SEED_TRACKS + 1 tracks of a query always hold the answer. A track that an earlier variant already gave is skipped.
+    `catalogue` and `seeds` are those of the history, where they are at hand already.
     """
-    near = nearest_tracks(history, points, SEED_TRACKS + 1)
+    near = nearest_tracks(track_catalogue(history) if catalogue is None else catalogue, points, SEED_TRACKS + 1)
     # At most 15 moods x 3 variants x 6 tracks.
     offers = wanted.join(F.broadcast(near), "mood_cluster_id")
-    seeds = seed_tracks(history).select("listener_id", "mood_cluster_id", "track_id")
+    seeds = (seed_tracks(history) if seeds is None else seeds).select("listener_id", "mood_cluster_id", "track_id")
     left = offers.join(seeds, ["listener_id", "mood_cluster_id", "track_id"], "left_anti")
     best = left.groupBy("listener_id", "mood_cluster_id", "variant").agg(
         F.min(F.struct("distance", "track_id")).alias("_best")

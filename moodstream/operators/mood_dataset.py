@@ -138,15 +138,21 @@ def last_plays(history: DataFrame, n: int) -> DataFrame:
     return history.withColumn("recency", F.row_number().over(newest)).filter(F.col("recency") <= n)
 
 
-def latest_window(history: DataFrame, window_size: int = WINDOW_SIZE, exact: bool = False) -> DataFrame:
+def latest_window(
+    history: DataFrame, window_size: int = WINDOW_SIZE, exact: bool = False, sessions: DataFrame | None = None
+) -> DataFrame:
     """One sample per listener from the newest plays, to predict what comes next.
 
     A latest session shorter than the window is filled up with the plays before it; position and length are then the
-    number of plays taken. The minutes since the session's start count as 0 unless `exact`.
+    number of plays taken. The minutes since the session's start count as 0 unless `exact`. With `sessions` (session days of
+    a history of complete rows), `history` need hold no more than the newest plays.
     """
     slim = history.select(*SESSION, *PLAY_ORDER, *FEATURES, "mood_cluster_id")
     known = slim.na.drop(subset=["mood_cluster_id", "session_id"])
-    sizes = known.groupBy(*SESSION).agg(F.count(F.lit(1)).alias("_size"), F.min("played_at").alias("_start"))
+    if sessions is None:
+        sizes = known.groupBy(*SESSION).agg(F.count(F.lit(1)).alias("_size"), F.min("played_at").alias("_start"))
+    else:
+        sizes = sessions.groupBy(*SESSION).agg(F.sum("n_plays").alias("_size"), F.min("first_play").alias("_start"))
     latest = sizes.groupBy("listener_id").agg(F.max(F.struct("session_id", "_size", "_start")).alias("_session"))
     tail = last_plays(known, window_size)
     taken = tail.groupBy("listener_id").agg(

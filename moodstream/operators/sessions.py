@@ -84,6 +84,14 @@ def listener_tails(history: DataFrame) -> DataFrame:
     return _last_sessions(sessions)
 
 
+def tails_of_days(days: DataFrame) -> DataFrame:
+    """The listener tails, from session days."""
+    sessions = days.groupBy("listener_id", "session_id").agg(
+        F.max("last_play").alias("latest_played_at"), F.min("first_play").alias("last_session_start")
+    )
+    return _last_sessions(sessions)
+
+
 def _last_sessions(sessions: DataFrame) -> DataFrame:
     last = F.max(F.struct("session_id", "last_session_start", "latest_played_at"))
     return (

@@ -103,7 +103,7 @@ def recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.nearest_tracks(history(spark, sf_dir), points(spark, sf_dir), export.SEED_TRACKS + 1)
+    return export.nearest_tracks(export.track_catalogue(history(spark, sf_dir)), points(spark, sf_dir), export.SEED_TRACKS + 1)
 
 
 QUERIES = {

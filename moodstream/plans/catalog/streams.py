@@ -49,12 +49,12 @@ def replay(
 
 def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _plays(spark, sf_dir).drop("event_id")
-    folder, table, tails, state = (fresh_dir(spark, f"ingest-{kind}") for kind in ("in", "history", "tails", "state"))
+    folder, table, state = (fresh_dir(spark, f"ingest-{kind}") for kind in ("in", "history", "state"))
     centroids = points(spark, sf_dir)
     # The second run brings some plays of the first again.
     for part in (before(rows), arrived(rows)):
         part.write.mode("append").parquet(folder)
-        write = streams.ingest_into(table, tails, centroids, GAP_MINUTES)
+        write = streams.ingest_into(table, centroids, GAP_MINUTES)
         streams.to_each_batch(streams.play_stream(spark, folder, rows.schema), write, state).awaitTermination()
     return store.scan_history(spark, table).select("listener_id", "track_id", "played_at", "session_id", "mood_cluster_id")
 

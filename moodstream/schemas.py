@@ -61,8 +61,46 @@ TAILS = T.StructType(
     ]
 )
 
+# One row per listener, session and date.
+SESSION_DAYS = T.StructType(
+    [
+        T.StructField("listener_id", T.LongType()),
+        T.StructField("session_id", T.LongType()),
+        T.StructField("date", T.DateType()),
+        T.StructField("first_play", T.TimestampType()),
+        T.StructField("last_play", T.TimestampType()),
+        T.StructField("n_plays", T.LongType()),
+    ]
+)
+
 CENTROID = T.StructType([T.StructField(f, T.DoubleType()) for f in FEATURES])
 
+# One row per track: its features and its names, each with the stamp of the play they come from.
+CATALOGUE = T.StructType(
+    [
+        T.StructField("track_id", T.StringType()),
+        T.StructField("sound", T.StructType([T.StructField("played_at", T.TimestampType()), *CENTROID.fields])),
+        T.StructField(
+            "names",
+            T.StructType(
+                [T.StructField("played_at", T.TimestampType())]
+                + [T.StructField(n, T.StringType()) for n in ("track_name", "artist_name", "image_url")]
+            ),
+        ),
+    ]
+)
+
+# The newest distinct tracks of a listener and mood.
+SEEDS = T.StructType(
+    [
+        T.StructField("listener_id", T.LongType()),
+        T.StructField("mood_cluster_id", T.IntegerType()),
+        T.StructField("track_id", T.StringType()),
+        T.StructField("last_played_at", T.TimestampType()),
+        T.StructField("place", T.IntegerType()),
+    ]
+)
+
 CLUSTER_MODEL = T.StructType(
     [
         T.StructField("optimal_k", T.IntegerType()),

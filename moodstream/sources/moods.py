@@ -24,8 +24,8 @@ def save_moods(moods: DataFrame, path: str) -> None:
 
 
 def mood_points(moods: DataFrame) -> list[dict]:
-    """The centroids as plain values, in order of id. More than MAX_MOODS rows are an error, not cut off."""
-    rows = moods.select("cluster_id", *FEATURES).orderBy("cluster_id").limit(MAX_MOODS + 1).collect()
+    """The centroids (and labels) as plain values, in order of id. More than MAX_MOODS rows are an error, not cut off."""
+    rows = moods.select("cluster_id", *(["label"] if "label" in moods.columns else []), *FEATURES).orderBy("cluster_id").limit(MAX_MOODS + 1).collect()
     if not rows:
         raise ValueError("the cluster model is empty")
     if len(rows) > MAX_MOODS:

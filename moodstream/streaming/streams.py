@@ -11,7 +11,7 @@ from moodstream.operators.arrivals import prepared_batch
 from moodstream.operators.mood_dataset import scoring_context
 from moodstream.operators.models import Trained, rescore_moods
 from moodstream.operators.moods import assign_moods
-from moodstream.operators.sessions import DEFAULT_GAP_MINUTES, extended_tails, listener_tails
+from moodstream.operators.sessions import DEFAULT_GAP_MINUTES
 from moodstream.schemas import PLAY_KEY
 from moodstream.sources import history as store
 
@@ -90,22 +90,19 @@ def to_each_batch(rows: DataFrame, write: Callable[[DataFrame, int], None], chec
 
 
 def ingest_into(
-    history_path: str, tails_path: str, points: Sequence[dict], gap_minutes: float = DEFAULT_GAP_MINUTES
+    history_path: str, points: Sequence[dict], gap_minutes: float = DEFAULT_GAP_MINUTES
 ) -> Callable[[DataFrame, int], None]:
     """A batch writer that puts new plays into the stored history.
 
-    A batch that runs again changes nothing: once the tails know its plays they are no longer new, and until then
-    writing them again replaces them by key.
+    A batch that runs again changes nothing: plays, tails and the other summaries come into force together, and once
+    they have, the batch's plays are no longer new.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         del batch_id
         spark = batch.sparkSession
-        tails = store.read_tails(spark, tails_path, history_path)
-        # Written once, since the update reads it several times.
-        rows = store.staged(prepared_batch(batch, tails, points, gap_minutes))
-        store.update_history(spark, history_path, rows)
-        store.write_tails(listener_tails(rows) if tails is None else extended_tails(tails, rows), tails_path)
+        before = store.kept(spark, history_path)
+        store.append_plays(spark, history_path, prepared_batch(batch, None if before is None else before.tails, points, gap_minutes))
 
     return write
 
