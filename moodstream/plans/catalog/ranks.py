@@ -23,6 +23,7 @@ from moodstream.plans.catalog.common import (
 from moodstream.plans.catalog.projections import SESSION_SAMPLES
 from moodstream.plans.catalog.windows import LOG_SQL, _log
 from moodstream.schemas import FEATURES
+from moodstream.sources.history import staged
 
 
 def time_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def metric_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = splits.time_split(session_samples(sessions(spark, sf_dir)))
+    parts = splits.time_split(staged(session_samples(sessions(spark, sf_dir))))
     return parts.select("listener_id", "date", "hour", "part")
 
 
@@ -62,11 +63,11 @@ def _with_mood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.stratified_split(_with_mood(spark, sf_dir), "mood_cluster_id", ["event_id"])
+    return splits.stratified_split(staged(_with_mood(spark, sf_dir)), "mood_cluster_id", ["event_id"])
 
 
 def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.random_split(_with_mood(spark, sf_dir), ["event_id"])
+    return splits.random_split(staged(_with_mood(spark, sf_dir)), ["event_id"])
 
 
 def class_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

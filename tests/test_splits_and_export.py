@@ -36,6 +36,30 @@ def test_time_split_inside_one_hour(spark):
     assert sorted(r["listener_id"] for r in got) == list(range(80))
 
 
+def test_splits_read_their_input_at_most_three_times(spark, hours, tmp_path):
+    path = str(tmp_path / "rows")
+    hours.withColumn("listener_id", F.col("id")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    for split in (splits.time_split(rows), splits.random_split(rows, ["id"]), splits.stratified_split(rows, "y", ["id"])):
+        plan = split._jdf.queryExecution().optimizedPlan().toString()
+        # Counting is one pass, made already; the other two are in the plan, beside the stored counts (which hold _range).
+        reads = [line for line in plan.splitlines() if "Relation [" in line]
+        assert sum("_range" not in line for line in reads) <= 2 and "Union" not in plan
+
+
+def test_split_with_rare_classes_nulls_and_repeats(spark):
+    rows = [(k, None if k % 5 == 0 else k % 3, k) for k in range(200)] + [(900, 7, 1), (901, None, 2)]
+    frame = spark.createDataFrame(rows, "id long, y long, n long")
+    got = splits.stratified_split(frame, "y", ["id"]).collect()
+    assert len(got) == len(rows)
+    for label in {y for _, y, _ in rows}:
+        mine = [r.part for r in got if r.y == label]
+        assert mine.count("train") == int(len(mine) * 0.8 + 1e-9)
+    assert splits.stratified_split(frame.limit(0), "y", ["id"]).count() == splits.random_split(frame.limit(0), ["id"]).count() == 0
+    one = splits.random_split(frame.limit(1), ["id"]).collect()
+    assert [r.part for r in one] == ["val"]
+
+
 def test_stratified_split_keeps_shares_and_repeats(hours):
     first = {r["id"]: r["part"] for r in splits.stratified_split(hours, "y", ["id"]).collect()}
     again = {r["id"]: r["part"] for r in splits.stratified_split(hours.repartition(3), "y", ["id"]).collect()}
