@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from moodstream.operators.ingest import newer_than, one_per_key
 from moodstream.operators.moods import assign_moods
 from moodstream.operators.sessions import DEFAULT_GAP_MINUTES, continued, sessionise
+from moodstream.schemas import PLAY_KEY
 
 
 def prepared_batch(
@@ -21,7 +22,9 @@ def prepared_batch(
     `tails` (see `listener_tails`) stand for the history, which is not read. Without centroids (before the first moods
     are built) the mood column is left out.
     """
-    fresh = one_per_key(batch.na.drop("any"), [F.lit(1)])
+    # Of differing copies of a play the one with the greatest values counts, whatever the order of arrival.
+    rest = [F.col(c).desc() for c in sorted(batch.columns) if c not in PLAY_KEY]
+    fresh = one_per_key(batch.na.drop("any"), rest or [F.lit(1)])
     if tails is None:
         numbered = sessionise(fresh, gap_minutes)
     else:

@@ -48,7 +48,7 @@ def mood_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mood_store.load_moods(spark, path)
 
 
-def _play_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def play_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One payload per play: the play, the same without a track, and one without a stamp."""
     artists = F.transform("artist_names", lambda n: F.struct(n.alias("name")))
     names = fixtures.tracks(spark, sf_dir).select("track_id", artists.alias("artists"))
@@ -71,14 +71,14 @@ def _play_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def play_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = payloads.play_payload(_play_payloads(spark, sf_dir))
+    flat = payloads.play_payload(play_payloads(spark, sf_dir))
     return flat.select(
         "listener_id", F.col("payload_no").alias("event_id"), "track_id", "played_at", "track_name", "artist_name"
     )
 
 
-def feature_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads in all envelopes; the first item of each is overruled by the second."""
+def feature_payloads(spark: SparkSession, sf_dir: str, kinds: int = 5) -> DataFrame:
+    """Payloads in all envelopes (the fifth is not known); the first item of each is overruled by the second."""
     tracks = fixtures.tracks(spark, sf_dir)
     link = F.concat(F.lit("https://open.spotify.com/track/"), F.col("track_id"), F.lit("?x=1"))
 
@@ -91,7 +91,7 @@ def feature_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     items = F.array(item(1.0), item(0.0))
-    kind = F.col("vec_id") % 5
+    kind = F.col("vec_id") % kinds
     payload = (
         F.when(kind == 0, F.to_json(F.struct(items.alias("content"))))
         .when(kind == 1, F.to_json(F.struct(items.alias("audioFeatures"))))
@@ -99,12 +99,16 @@ def feature_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, F.to_json(items))
         .otherwise(F.to_json(F.struct(items.alias("other"))))
     )
-    rows = tracks.select(F.col("vec_id").alias("payload_no"), payload.alias("payload"))
+    return tracks.select(F.col("vec_id").alias("payload_no"), payload.alias("payload"))
+
+
+def feature_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = feature_payloads(spark, sf_dir)
     requested = fixtures.plays(spark, sf_dir).select("track_id")
     return payloads.feature_payload(rows, requested)
 
 
-def track_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+def track_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     def image(suffix: str, width: int):
         return F.struct(F.concat("image_url", F.lit(suffix)).alias("url"), F.lit(width).alias("width"))
 
@@ -118,11 +122,14 @@ def track_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(images.alias("images")).alias("album"),
     )
     tracks = F.array(track, F.when(F.lit(False), track))
-    rows = fixtures.tracks(spark, sf_dir).select(
+    return fixtures.tracks(spark, sf_dir).select(
         F.col("vec_id").alias("payload_no"),
         F.to_json(F.struct(tracks.alias("tracks")), {"ignoreNullFields": "false"}).alias("payload"),
     )
-    return payloads.track_payload(rows)
+
+
+def track_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.track_payload(track_payloads(spark, sf_dir))
 
 
 def batch_write(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +223,7 @@ def log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enriched_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From payload text to plays with features."""
-    plays = payloads.play_payload(_play_payloads(spark, sf_dir))
+    plays = payloads.play_payload(play_payloads(spark, sf_dir))
     tracks = fixtures.tracks(spark, sf_dir)
     items = F.array(F.struct(F.col("track_id").alias("spotify_id"), *PAYLOAD_FEATURES))
     texts = tracks.select(F.col("vec_id").alias("payload_no"), F.to_json(items).alias("payload"))
