@@ -1,17 +1,14 @@
 """Moods: nearest centroid, labels, k-means."""
 
-from collections.abc import Callable, Sequence
-from multiprocessing.pool import ThreadPool
-
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moodstream.functions.scalar import feature_distance, mood_label
+from moodstream.operators.kmeans import Fit, best_fits, silhouettes
 from moodstream.operators.ingest import needs_mood, one_per_key, union_aligned
 from moodstream.schemas import FEATURES, MAX_MOODS
 
@@ -19,8 +16,6 @@ from moodstream.schemas import FEATURES, MAX_MOODS
 K_RANGE = (3, 15)
 STARTS = 10
 SEED = 42
-# Fits that are submitted to the cluster at the same time.
-PARALLEL_FITS = 4
 
 
 def complete(plays: DataFrame) -> DataFrame:
@@ -84,28 +79,9 @@ def mean_centroids(plays: DataFrame, group: str) -> DataFrame:
     )
 
 
-def weighted_vectors(plays: DataFrame) -> DataFrame:
+def weighted_points(plays: DataFrame) -> DataFrame:
     """Distinct feature points with the number of plays at each: the same objective with far fewer rows."""
-    points = complete(plays).groupBy(*FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(points)
-
-
-def _side_by_side(spark: SparkSession, task: Callable, items: Sequence) -> list:
-    """Results of independent Spark jobs in the order of the items, a few at a time."""
-    with ThreadPool(min(PARALLEL_FITS, len(items))) as pool:
-        return pool.map(inheritable_thread_target(spark)(task), items)
-
-
-def _best_fits(vectors: DataFrame, ks: Sequence[int], starts: int, seed: int) -> list:
-    """For each k the k-means model with the lowest cost among several starts; the first one wins a tie."""
-
-    def fit(task: tuple[int, int]):
-        k, start = task
-        return KMeans(k=k, seed=seed + start, weightCol="weight").fit(vectors)
-
-    fits = _side_by_side(vectors.sparkSession, fit, [(k, start) for k in ks for start in range(starts)])
-    groups = [fits[at : at + starts] for at in range(0, len(fits), starts)]
-    return [min(group, key=lambda model: model.summary.trainingCost) for group in groups]
+    return complete(plays).groupBy(*FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def elbow(ks: Sequence[int], costs: Sequence[float]) -> int:
@@ -116,26 +92,20 @@ def elbow(ks: Sequence[int], costs: Sequence[float]) -> int:
     return ks[bends.index(max(bends)) + 1]
 
 
-def choose_k(
-    vectors: DataFrame, n_rows: int, k_range: tuple[int, int] = K_RANGE, starts: int = STARTS, seed: int = SEED
-) -> int:
-    """Number of moods with the best silhouette over the sweep, else the elbow of the cost."""
+def swept(
+    points: DataFrame, n_rows: int, k_range: tuple[int, int] = K_RANGE, starts: int = STARTS, seed: int = SEED
+) -> Fit:
+    """The fit with the best silhouette over the sweep of numbers of moods, else that at the elbow of the cost."""
     low = max(k_range[0], 2)
     high = min(k_range[1], n_rows // 10, MAX_MOODS)
     if high < low:
-        return max(low, 3)
-    judge = ClusteringEvaluator(weightCol="weight")
-
+        return best_fits(points, [max(low, 3)], starts, seed)[0]
     ks = list(range(low, high + 1))
-    fits = _best_fits(vectors, ks, starts, seed)
-
-    def silhouette(at: int) -> float:
-        return judge.evaluate(fits[at].transform(vectors)) if n_rows >= 2 * ks[at] else -1.0
-
-    costs = [model.summary.trainingCost for model in fits]
-    scores = _side_by_side(vectors.sparkSession, silhouette, range(len(ks)))
+    fits = best_fits(points, ks, starts, seed)
+    found = silhouettes(points, fits)
+    scores = [score if n_rows >= 2 * k else -1.0 for k, score in zip(ks, found, strict=True)]
     best = max(scores)
-    return ks[scores.index(best)] if best > 0 else elbow(ks, costs)
+    return fits[scores.index(best) if best > 0 else ks.index(elbow(ks, [fit.cost for fit in fits]))]
 
 
 _CENTROIDS = T.StructType(
@@ -147,15 +117,15 @@ def fit_moods(
     plays: DataFrame, k: int | None = None, k_range: tuple[int, int] = K_RANGE, starts: int = STARTS, seed: int = SEED
 ) -> DataFrame:
     """Cluster table (id, centroid, label) of k-means over the plays; `k` is chosen where not given."""
-    vectors = weighted_vectors(plays).persist(StorageLevel.MEMORY_AND_DISK)
+    points = weighted_points(plays).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n_rows = int(vectors.agg(F.sum("weight")).first()[0] or 0)
+        n_rows = int(points.agg(F.sum("weight")).first()[0] or 0)
         if n_rows < 3:
             raise ValueError(f"too few plays with features: {n_rows}")
-        chosen = k or choose_k(vectors, n_rows, k_range, starts, seed)
-        centers = _best_fits(vectors, [chosen], starts, seed)[0].clusterCenters()
+        fit = best_fits(points, [k], starts, seed)[0] if k else swept(points, n_rows, k_range, starts, seed)
     finally:
-        vectors.unpersist()
+        points.unpersist()
+    centers = fit.centres
     rows = [(i, *[float(x) for x in center]) for i, center in enumerate(centers)]
     return labelled(plays.sparkSession.createDataFrame(rows, _CENTROIDS))
 
