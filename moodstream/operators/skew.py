@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # A key outside the HOT_KEYS most frequent ones holds less than 1/HOT_KEYS of the rows.
 HOT_KEYS = 1000
-SALTS = 64
 # Rows of a long group that one task handles together.
 CHUNK_ROWS = 4096
 
@@ -22,8 +21,10 @@ def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], hot: int
     """Left join to a table with one row per key, for `rows` whose keys may be very uneven.
 
     The most frequent keys (at most `hot`) are broadcast with their entries. Their rows, and rows without a key, get a
-    salt that no table entry carries, so that they are spread over all tasks of the shuffle join that serves the rest.
+    salt that no table entry carries, so that they are spread over all tasks of the shuffle join that serves the rest:
+    there are as many salts as the session has shuffle partitions.
     """
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = list(keys)
     values = [c for c in table.columns if c not in keys]
     frequent = hot_keys(rows, keys, hot)
@@ -37,7 +38,7 @@ def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], hot: int
     keyless = F.lit(False)
     for key in keys:
         keyless = keyless | F.col(key).isNull()
-    salt = F.when(F.col("_hot").isNotNull() | keyless, 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0)
+    salt = F.when(F.col("_hot").isNotNull() | keyless, 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(0)
     marked = marked.withColumn("_salt", salt.cast("long"))
     cold = table.select(*keys, F.struct(*values).alias("_cold"), F.lit(0).cast("long").alias("_salt"))
     joined = marked.join(cold, [*keys, "_salt"], "left")
