@@ -54,7 +54,7 @@ def metric_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = splits.time_split(staged(session_samples(sessions(spark, sf_dir))))
+    parts = splits.time_split(staged(session_samples(sessions(spark, sf_dir)).select("listener_id", "date", "hour")))
     return parts.select("listener_id", "date", "hour", "part")
 
 
