@@ -10,9 +10,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED = 20
-#: Common words are sought among words of at most so many bytes, and so many are taken for each language.
-WORD_BYTES = 5
-COMMON = 16
+#: So many common words are taken for each language, of any length; words that mix letters with ASCII digits or marks
+#: ("end.") are none, marks alone ("|") are.
+COMMON = 20
+_MIXED = ("[!-@\\[-`{-~]", "[^!-@\\[-`{-~]")
 #: A histogram is judged only if the text, and its language as a whole, have at least so many words.
 JUDGED_WORDS = 40
 LANGUAGE_WORDS = 2000
@@ -81,10 +82,10 @@ def _repeated_words(found: Column) -> Column:
     return bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0))
 
 
-def measured(documents: DataFrame, *keep: str) -> DataFrame:
-    """The columns `keep`, the base counts, the classes' counts and the text's short words between double blanks."""
+def measured(documents: DataFrame, *keep: str, longest: Column) -> DataFrame:
+    """The columns `keep`, the base counts, the classes' counts and the words of at most `longest` bytes between double blanks."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    step = documents.select(*keep, text.alias("__t"), words(text).alias("__w"), _ink(text).alias("__ink"))
+    step = documents.select(*keep, longest.alias("__longest"), text.alias("__t"), words(text).alias("__w"), _ink(text).alias("__ink"))
     step = step.withColumn("__chars", F.length(F.array_join("__w", "")))
     symbols = F.col("__ink")
     for mark in SYMBOLS:
@@ -93,7 +94,7 @@ def measured(documents: DataFrame, *keep: str) -> DataFrame:
         F.filter(F.split("__t", "\n"), lambda line: F.rlike(line, F.lit(r"[^\x20\x09-\x0D]"))),
         lambda kept: F.size(kept) - F.size(F.array_distinct(kept)),
     )
-    short = F.filter("__w", lambda w: F.octet_length(w) <= WORD_BYTES)
+    short = F.filter("__w", lambda w: F.octet_length(w) <= F.col("__longest"))
     return step.select(
         *keep,
         F.size("__w").cast("long").alias("n_words"),
@@ -109,17 +110,16 @@ def measured(documents: DataFrame, *keep: str) -> DataFrame:
 def language_references(documents: DataFrame) -> DataFrame:
     """(lang, n_words, classes, common): for each language its words, class counts and commonest words with counts.
 
-    Counted over all documents of at least MIN_WORDS words, in one pass: each text is spread into its short words and
-    one row with its totals, and both are summed where they stand before the shuffle.
+    Counted over all documents of at least MIN_WORDS words, in one pass: each text is spread into its words and one
+    row with its totals, and both are summed where they stand before the shuffle.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     step = documents.select("lang", words(text).alias("w"), _ink(text).alias("ink"))
-    short = F.array_append(F.filter("w", lambda w: F.octet_length(w) <= WORD_BYTES), F.lit(None).cast("string"))
     step = step.select(
         "lang",
         F.size("w").alias("n"),
         _classes(F.col("ink"), F.length(F.array_join("w", ""))).alias("c"),
-        F.when(F.size("w") >= MIN_WORDS, short).otherwise(F.array().cast("array<string>")).alias("spread"),
+        F.when(F.size("w") >= MIN_WORDS, F.array_append("w", F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")).alias("spread"),
     )
     step = step.select("lang", "n", "c", F.explode("spread").alias("word"))
     total = F.col("word").isNull()
@@ -130,7 +130,7 @@ def language_references(documents: DataFrame) -> DataFrame:
     counts = stored(counts, "language-counts")
     totals = counts.where(total).select("lang", F.col("n").alias("n_words"), F.array(*[f"c{k}" for k in range(len(CLASSES))]).alias("classes"))
     order = Window.partitionBy("lang").orderBy(F.desc("k"), "word")
-    top = counts.where(~total).withColumn("at", F.row_number().over(order)).where(F.col("at") <= COMMON)
+    top = counts.where(~(F.col("word").rlike(_MIXED[0]) & F.col("word").rlike(_MIXED[1]))).withColumn("at", F.row_number().over(order)).where(F.col("at") <= COMMON)
     common = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("word", F.col("k").alias("n")))).alias("common"))
     both = totals.join(common.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
     none = F.array().cast("array<struct<word:string,n:bigint>>")
@@ -171,14 +171,15 @@ def judged(documents: DataFrame, into: str = "verdict", references: DataFrame |
             _shares(F.col("classes")).alias("classes"),
             F.col("common.word").alias("words"),
             F.col("common.n").alias("counts"),
+            F.array_max(F.transform("common.word", F.octet_length)).alias("longest"),
         ).alias("__ref"),
     )
     if references.count() <= MAX_LANGUAGES:
         reference = F.broadcast(reference)
     rows = documents.withColumn("__row", F.struct(*[F.col(c) for c in documents.columns]) if documents.columns else F.lit(0))
-    found = measured(rows.select("__row", "text", "lang"), "__row", "lang")
-    found = found.join(reference, F.col("lang").eqNullSafe(F.col("__lang")), "left")
+    found = rows.select("__row", "text", "lang").join(reference, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     ref = F.col("__ref")
+    found = measured(found, "__row", "lang", "__ref", longest=ref["longest"])
     spaced = F.col("spaced")
     own = F.transform(
         ref["words"],
@@ -243,14 +244,14 @@ twice as (select doc_id, i from windows qualify count(*) over (partition by doc_
 repeated as (
   select doc_id, count(distinct place) as n
   from (select doc_id, unnest(range(i, i + {WINDOW})) as place from twice) group by doc_id),
-short as (select doc_id, lang, n_words, unnest(list_filter(w, lambda x: strlen(x) <= {WORD_BYTES})) as word from m),
+single as (select doc_id, lang, n_words, unnest(w) as word from m),
 r as (
   select lang, sum(n_words) as n, sum(word_chars) as chars, {", ".join(f"sum(c{k}) as c{k}" for k in range(len(CLASSES)))}
   from m where n_words >= {MIN_WORDS} group by lang),
-counts as (select lang, word, count(*) as k from short where n_words >= {MIN_WORDS} group by lang, word),
+counts as (select lang, word, count(*) as k from single where n_words >= {MIN_WORDS} and not (regexp_matches(word, '{_MIXED[0]}') and regexp_matches(word, '{_MIXED[1]}')) group by lang, word),
 top as (select * from counts qualify row_number() over (partition by lang order by k desc, word) <= {COMMON}),
 own as (
-  select s.doc_id, s.word, count(*) as k from short s join top t on s.lang is not distinct from t.lang and s.word = t.word
+  select s.doc_id, s.word, count(*) as k from single s join top t on s.lang is not distinct from t.lang and s.word = t.word
   group by s.doc_id, s.word),
 usual as (
   select m.*, r.n, round(sqrt(greatest(0.0::double, {_CLASS_TERMS})), 6) as class_distance
