@@ -122,6 +122,51 @@ def _rounded(rows: DataFrame, seed: int) -> DataFrame:
     return done
 
 
+def _nearer(improves):
+    """One step over a source's large texts: each is taken once more or once less if `improves` says so of the words that
+    the source is off its target and the text's size."""
+
+    def step(state: Column, text: Column) -> Column:
+        off, size = state["off"], text["size"]
+        times = text["n"] * text["base"] + text["ups"]
+        less = (off > 0) & (times > 0)
+        more = (off < 0) & (times < MOST * text["n"])
+        change = F.when(improves(F.abs(off), size) & (less | more), -F.signum(off)).otherwise(0.0).cast("long")
+        after = bound(times + change, lambda t: bound(F.floor(t / text["n"]).cast("long"), lambda b: F.struct(b.alias("base"), (t - b * text["n"]).alias("ups"))))
+        settled = bound(after, lambda a: text.withField("base", a["base"]).withField("ups", a["ups"]))
+        return F.struct((off + change * size).alias("off"), F.array_append(state["texts"], settled).alias("texts"))
+
+    return step
+
+
+def _settled(large: DataFrame, off: DataFrame) -> DataFrame:
+    """`large` with texts taken once more or less where that brings a source, `off` (s, off) words, nearer to none.
+
+    Larger texts first: one at least halves what its source is off, then whatever still brings it nearer. A source has fewer
+    than LARGE different large texts, so one row holds them all.
+    """
+    kind = "array<struct<size:bigint,doc_id:bigint,n:bigint,base:bigint,ups:bigint>>"
+    texts = F.sort_array(F.collect_list(F.struct("size", "doc_id", "n", "base", F.col("ups").cast("long").alias("ups"))), asc=False)
+    held = large.groupBy("source", "target", "source_size").agg(texts.cast(kind).alias("texts"))
+    held = held.join(off, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    for improves in (lambda off, size: (2 * size >= off) & (2 * size <= 3 * off), lambda off, size: size < 2 * off):
+        start = F.struct("off", F.array().cast(kind).alias("texts"))
+        held = held.withColumn("state", F.aggregate("texts", start, _nearer(improves)))
+        held = held.select("source", "target", "source_size", "state.off", "state.texts")
+    each = held.select("source", "target", "source_size", F.explode("texts").alias("t"))
+    return each.select("t.doc_id", "source", "t.size", "t.n", "t.base", "target", "source_size", "t.ups")
+
+
+def _took(large: DataFrame) -> DataFrame:
+    """(s, took, held, goal, total): of each source's large texts the words taken and held; its target and its size."""
+    return large.groupBy(F.col("source").alias("s")).agg(
+        F.sum(F.col("size") * (F.col("n") * F.col("base") + F.col("ups"))).alias("took"),
+        F.sum(F.col("size") * F.col("n")).alias("held"),
+        F.max("target").alias("goal"),
+        F.max("source_size").alias("total"),
+    )
+
+
 def mixed(documents: DataFrame, seed: int = 7) -> DataFrame:
     """(doc_id, size, source_size, target, source, copies, taken) for every row of `documents` (doc_id, source, text).
 
@@ -129,7 +174,8 @@ def mixed(documents: DataFrame, seed: int = 7) -> DataFrame:
     fractions are rounded by pivotal steps that keep each source's words: blocks of about BLOCK fractions, larger
     texts first, leave one fraction each, and blocks of those the next level, until one per source is left, which is
     drawn. So a source's words miss its target by less than one (mostly short) document. The fewer than LARGE texts that
-    hold over 1 / LARGE of their source each are rounded before the rest, whose rate then makes up for them. Blocks are dealt by hash, so a
+    hold over 1 / LARGE of their source each are rounded before the rest, whose rate then makes up for them; where the rest
+    is too small for that, single large texts are taken once more or less (`_settled`). Blocks are dealt by hash, so a
     source with most rows is spread over many. Rows alike in doc_id, source and size are one unit with a count. Sizes of
     zero (null, empty, blank) take nothing; null sources are one source, last; null doc_ids are documents too; an
     empty table gives no rows. No document is taken more than MOST times. Reruns agree.
@@ -142,10 +188,13 @@ def mixed(documents: DataFrame, seed: int = 7) -> DataFrame:
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     large = F.col("size") * LARGE > F.col("source_size")
     first = stored(_rounded(rows.where(large).withColumn("rate", rate), seed), "large-texts")
-    took = first.groupBy(F.col("source").alias("s")).agg(
-        F.sum(F.col("size") * (F.col("n") * F.col("base") + F.col("ups"))).alias("took"),
-        F.sum(F.col("size") * F.col("n")).alias("held"),
-    )
+    # Where the rest could not make up for the large texts, these come as near as they can to their own share.
+    left, small = F.col("goal") - F.col("took"), F.col("total") - F.col("held")
+    unreached = (left < 0) | (left > MOST * small)
+    off = F.when(unreached, F.col("goal") * F.col("held") / F.col("total") - F.col("took")).otherwise(0.0)
+    off = stored(_took(first).select("s", (-off).alias("off")), "off-target")
+    first = stored(_settled(first, off), "settled")
+    took = _took(first).select("s", "took", "held")
     rest = rows.where(~large).join(took, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     open_size = F.col("source_size") - F.coalesce("held", F.lit(0))
     open_rate = F.when(open_size > 0, (F.col("target") - F.coalesce("took", F.lit(0))) / open_size).otherwise(0.0)
