@@ -214,7 +214,11 @@ def records(packages: DataFrame) -> DataFrame:
             source.close()
 
     found = packages.select("path").repartition("path").mapInArrow(ranges, "path string, place long, size long")
-    found = found.repartition("path", F.floor(F.col("place") / (4 * RANGE_BYTES))).sortWithinPartitions("path", "place")
+    found = stored(found, "ranges")
+    # The number of tasks follows the bytes to read: the ranges themselves are too small for a merge at run time to tell.
+    share = 4 * RANGE_BYTES
+    tasks = (found.agg(F.sum("size")).first()[0] or 0) // share + 1
+    found = found.repartition(tasks, "path", F.floor(F.col("place") / share)).sortWithinPartitions("path", "place")
     return found.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
