@@ -57,6 +57,22 @@ def test_quality_counts(spark, odd):
         quality.judged(odd, "kept")
 
 
+@pytest.mark.parametrize("common, rare", [("και|είναι|του|την|από|στην|που|δεν", "θάλασσα"), ("который|также|было|его|она|чтобы|при|они", "паровоз")])
+def test_quality_judges_any_script(spark, common, rare):
+    random.seed(3)
+    usual = common.split("|")
+    texts = [" ".join(random.choice(usual) if random.random() < 0.6 else f"{rare}{chr(random.randint(945, 969))}{random.randint(0, 99)}." for _ in range(80)) for _ in range(60)]
+    texts.append(" ".join(rare + chr(1072 + i % 30) + chr(1072 + i // 30) for i in range(80)))
+    rows = spark.createDataFrame([(i, t, "x", "a", 0) for i, t in enumerate(texts)], DOCS)
+    common = {w.word: w.n for w in quality.language_references(rows).first().common}
+    held = collections.Counter(w for t in texts for w in t.split())
+    assert set(usual) <= set(common) and all(n == held[w] for w, n in common.items())
+    assert not any(w.endswith(".") for w in common)
+    verdict = {r.doc_id: r.v for r in quality.judged(rows, "v").collect()}
+    assert verdict[60].word_distance > quality.WORD_DISTANCE and not verdict[60].kept and not verdict[60].base_failed
+    assert all(verdict[i].word_distance < quality.WORD_DISTANCE for i in range(60))
+
+
 def test_distance(spark):
     from pyspark.sql import functions as F
 
@@ -137,6 +153,18 @@ def test_mixing(spark, odd):
     for s in sizes:
         assert target[s] == pytest.approx(3 * sizes[s] if s in full else weight[s] * level)
         assert abs(taken[s] - target[s]) <= 60
+    # Sources of a few long texts, too: off by less than the smallest text or half a percent.
+    texts = []
+    for each in (3, 20, 50, 150):
+        for i in range(3 * each):
+            size = random.choice([random.randint(5, 40), random.randint(200, 900)])
+            texts += [(len(texts), "w " * size, "en", f"s{each}-{i % 3}", 0)] * (1 + (i % 7 == 0))
+    rows = mixing.mixed(spark.createDataFrame(texts, DOCS)).collect()
+    assert len(rows) == len(texts) and all(0 <= r.taken <= 3 * r.size for r in rows)
+    for s in {r.source for r in rows if not r.source.startswith("s3-")}:
+        own = [r for r in rows if r.source == s]
+        off = abs(sum(r.taken for r in own) - own[0].target)
+        assert off <= max(min(r.size for r in own), 0.005 * own[0].target), (s, off)
     few = mixing.mixed(odd).collect()
     assert len(few) == len(ODD) and all(r.taken <= 3 * r.size for r in few)
     assert mixing.mixed(odd.limit(0)).count() == 0
