@@ -190,24 +190,55 @@ def _scored_by_broadcast(documents: DataFrame, model: DataFrame, into: str) -> D
     return documents.mapInArrow(each, with_field(documents, into, "double"))
 
 
-def _scored_by_join(documents: DataFrame, model: DataFrame, into: str) -> DataFrame:
-    """For models of any size: the texts' different grams, with counts, meet the model's rows order by order."""
-    keyed = documents.withColumn("__key", F.xxhash64("text"))
-    text = F.concat(F.lit(_PAD * (ORDER - 1)), F.col("text"))
-    places = F.sequence(F.lit(1), F.length("text"))
-    texts = keyed.where(F.length("text") > 0).dropDuplicates(["text"]).select("text", F.col("__key").alias("k"))
-    grams = texts.select("k", F.explode(F.transform(places, lambda i: F.substring(text, i, F.lit(ORDER)))).alias("g"))
-    rows = grams.groupBy("k", "g").agg(F.count("*").alias("n")).withColumn("log", F.lit(0.0)).withColumn("done", F.lit(False))
+def _text_grams(texts: DataFrame) -> DataFrame:
+    """(a, b, gram, n): the different ORDER characters that end in each text of `texts` (a, b, text), counted; one pass over it."""
+
+    def each(batches):
+        for whole in batches:
+            for batch in pieces(whole, "text", 1 << 20):
+                points, real, owner = _points(batch.column("text").to_pylist())
+                at = np.flatnonzero(real)
+                if not len(at):
+                    continue
+                packed, owner = _hashes(points, ORDER)[at], owner[at]
+                order = np.lexsort((packed, owner))
+                new = np.append(True, (np.diff(packed[order]) != 0) | (np.diff(owner[order]) != 0))
+                first = order[new]
+                n = np.diff(np.append(np.flatnonzero(new), len(order)))
+                grid = np.stack([points[at[first] - k] for k in range(ORDER - 1, -1, -1)], axis=1)
+                raw = np.ascontiguousarray(grid).tobytes().decode("utf-32-le", "surrogatepass")
+                grams = pa.array([raw[i : i + ORDER] for i in range(0, len(raw), ORDER)], pa.string())
+                ids = [batch.column(c).take(pa.array(owner[first])) for c in ("a", "b")]
+                yield pa.RecordBatch.from_arrays([*ids, grams, pa.array(n, pa.int64())], ["a", "b", "gram", "n"])
+
+    return texts.select("a", "b", "text").mapInArrow(each, "a long, b long, gram string, n long")
+
+
+def _gram_logs(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """(gram, log): the log probability of the last character of each of `grams` (gram, all different), one join an order."""
+    rows = grams.select("gram", F.lit(0.0).alias("log"), F.lit(False).alias("done"))
     probabilities = model.where("p is not null").select(F.col("gram").alias("m"), F.log("p").alias("lp"))
     lefts = model.where("left is not null").select(F.col("gram").alias("m"), F.log("left").alias("ll"))
     for k in range(ORDER, 0, -1):
-        rows = rows.withColumn("e", F.substring(F.col("g"), ORDER - k + 1, k)).join(probabilities, F.col("e") == F.col("m"), "left").drop("m", "e")
-        rows = rows.withColumn("b", F.substring(F.col("g"), ORDER - k + 1, k - 1)).join(lefts, F.col("b") == F.col("m"), "left").drop("m", "b")
+        rows = rows.withColumn("e", F.substring("gram", ORDER - k + 1, k)).join(probabilities, F.col("e") == F.col("m"), "left").drop("m", "e")
+        rows = rows.withColumn("e", F.substring("gram", ORDER - k + 1, k - 1)).join(lefts, F.col("e") == F.col("m"), "left").drop("m", "e")
         add = F.coalesce("lp", "ll", F.lit(0.0))
-        rows = rows.withColumn("log", F.when(F.col("done"), F.col("log")).otherwise(F.col("log") + add))
-        rows = rows.withColumn("done", F.col("done") | F.col("lp").isNotNull()).drop("lp", "ll")
-    found = rows.groupBy("k").agg(F.exp(-F.sum(F.col("log") * F.col("n")) / F.sum("n")).alias(into))
-    return keyed.join(found, F.col("__key") == F.col("k"), "left").drop("__key", "k")
+        rows = rows.select("gram", F.when(F.col("done"), F.col("log")).otherwise(F.col("log") + add).alias("log"), (F.col("done") | F.col("lp").isNotNull()).alias("done"))
+    return rows.select("gram", "log")
+
+
+def _scored_by_join(documents: DataFrame, model: DataFrame, into: str) -> DataFrame:
+    """For models of any size: different grams of all texts meet the model order by order; then each text's grams, with
+    counts, meet their logs. Linear in the texts. Texts are told apart by 128 bits of hash."""
+    keyed = documents.withColumn("__a", F.xxhash64("text")).withColumn("__b", F.xxhash64(F.lit(1), "text"))
+    texts = keyed.where(F.length("text") > 0).select(F.col("__a").alias("a"), F.col("__b").alias("b"), "text")
+    # Repeated texts are counted once for each copy: the mean is the same.
+    grams = stored(_text_grams(texts), "text-grams")
+    logs = stored(_gram_logs(grams.select("gram").distinct(), model), "gram-logs")
+    mean = (F.exp(-F.sum(F.col("log") * F.col("n")) / F.sum("n"))).alias("__found")
+    found = grams.join(logs, "gram").groupBy(F.col("a").alias("__key_a"), F.col("b").alias("__key_b")).agg(mean)
+    same = (F.col("__a") == F.col("__key_a")) & (F.col("__b") == F.col("__key_b"))
+    return keyed.join(found, same, "left").select(*[keyed[c] for c in documents.columns], F.col("__found").alias(into))
 
 
 def scored(documents: DataFrame, model: DataFrame, into: str = "perplexity") -> DataFrame:
@@ -287,11 +318,11 @@ def judged(documents: DataFrame, labels: DataFrame, into: str = "language_model"
     model = trained(trusted)
     rated = stored(scored(trusted, model, "perplexity").select("lang", "perplexity"), "trusted-perplexity").where("perplexity is not null")
     limits = rated.groupBy("lang").agg(F.percentile_approx("perplexity", QUANTILE, 10_000).alias("limit"), F.count("*").alias("n"))
-    limits = limits.where(F.col("n") >= MIN_TRUSTED).select(F.col("lang").alias("__lang"), "limit")
+    limits = limits.where(F.col("n") >= MIN_TRUSTED).select(F.col("lang").alias("__lang"), F.col("limit").alias("__limit"))
     general = rated.agg(F.percentile_approx("perplexity", QUANTILE, 10_000)).first()[0]
     out = scored(documents, model, "__perplexity")
     out = out.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left")
-    limit = F.coalesce("limit", F.lit(general).cast("double"), F.lit(float("inf")))
+    limit = F.coalesce("__limit", F.lit(general).cast("double"), F.lit(float("inf")))
     kept = F.coalesce(F.col("__perplexity") <= limit, F.lit(False))
     struct = F.struct(F.col("__perplexity").alias("perplexity"), limit.alias("threshold"), kept.alias("kept"))
     return out.select(*documents.columns, struct.alias(into))

@@ -335,6 +335,67 @@ def test_kneser_ney(spark):
     assert verdict[1] and verdict[4] is False and verdict[5] is False
 
 
+def _plain_kneser_ney(texts, order=4):
+    """Log probability of a gram's last character by a dictionary model: modified Kneser-Ney, counts of different beginnings."""
+    padded = ["\0" * (order - 1) + t for t in texts]
+    counts = {order: collections.Counter(t[i : i + order] for t in padded for i in range(len(t) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+
+    def discount(k, n):
+        n1, n2, n3, n4 = (sum(v == x for v in counts[k].values()) for x in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+        high = min(n, 3)
+        have, more = {1: (n1, n2), 2: (n2, n3), 3: (n3, n4)}[high]
+        return min(high, max(0.0, high - (high + 1) * y * more / have)) if have and more else (0.5, 1.0, 1.5)[high - 1]
+
+    def chance(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(counts[1]) + 1)
+        after = [(g, n) for g, n in counts[k].items() if g[:-1] == gram[:-1]]
+        if not after:
+            return chance(gram[1:])
+        total, own = sum(n for _, n in after), counts[k][gram]
+        left = sum(discount(k, n) for _, n in after) / total
+        return (max(0.0, own - discount(k, own)) / total if own else 0.0) + left * chance(gram[1:])
+
+    return lambda text: [chance(("\0" * (order - 1) + text)[i : i + order]) for i in range(len(text))]
+
+
+def test_perplexity_equals_a_plain_model(spark):
+    random.seed(5)
+    texts = ["".join(random.choice("aabbcd é") for _ in range(random.randint(0, 60))) for _ in range(25)]
+    model = perplexity.trained(spark.createDataFrame([(t,) for t in texts], "text string"))
+    plain = _plain_kneser_ney(texts)
+    tried = [*texts[:8], "zzz", "abz", "一 a", texts[0], "abcd " * 4000, "", None]
+    # Columns with names that the operator might use inside.
+    rows = [(t, 1.0, 2, 3, "g") for t in tried]
+    odd = spark.createDataFrame(rows, "text string, k double, a int, b int, gram string")
+    for way in (perplexity._scored_by_broadcast, perplexity._scored_by_join):
+        got = way(odd, model, "p").collect()
+        assert len(got) == len(tried) and got[0].asDict().keys() == {"text", "k", "a", "b", "gram", "p"}
+        for r in got:
+            part = (r.text or "")[:2000]  # the long text repeats itself: its end has the same mean
+            want = math.exp(-sum(map(math.log, plain(part))) / len(part)) if part else None
+            assert (r.p is None) if want is None else r.p == pytest.approx(want, rel=1e-6 if len(r.text) == len(part) else 1e-2)
+        assert way(odd.limit(0), model, "p").count() == 0
+
+
+def test_language_model_verdicts_on_odd_rows(spark, odd):
+    from pyspark.sql import functions as F
+
+    rows = odd.withColumn("limit", F.lit("x")).withColumn("perplexity", F.lit(0)).withColumn("n", F.lit(1))
+    marks = "doc_id long, quality int"
+    got = perplexity.judged(rows, spark.createDataFrame([(4, 1), (7, 1), (6, 0)], marks), "v").collect()
+    assert len(got) == len(ODD) and all(r.limit == "x" and r.perplexity == 0 for r in got)
+    assert all((r.v.perplexity is None) == (not r.text) and (r.text or not r.v.kept) for r in got)
+    assert len({tuple(r.v) for r in got if r.doc_id == 7}) == 1
+    none = perplexity.judged(rows, spark.createDataFrame([], marks), "v").collect()
+    assert all(r.v.kept == bool(r.text) for r in none)
+    assert perplexity.judged(rows.limit(0), spark.createDataFrame([], marks), "v").count() == 0
+
+
 @pytest.mark.parametrize("bits", [24, 13, 6])
 def test_trusted_texts_are_exactly_the_good_ones(spark, bits):
     rows = [(i if i % 100 else None, "x", f"t{i}") for i in range(4000)] + [(7, "y", "again"), (7, "y", None)]
