@@ -11,6 +11,8 @@ BLOCK = 64
 MOST = 3
 #: Texts over 1 / LARGE of their source are rounded first, and the rest makes up for what they take.
 LARGE = 200
+#: Tables of at most this many sources are broadcast.
+SOURCES = 5000
 WEIGHTS = (1, 2, 3)
 _TINY = 1e-12
 _UNIT = "struct<size:bigint,doc_id:bigint,source:string,n:bigint,base:bigint,goal:double,total:bigint,extra:bigint,p:double>"
@@ -167,13 +169,37 @@ def _took(large: DataFrame) -> DataFrame:
     )
 
 
+def _closed(done: DataFrame) -> DataFrame:
+    """`done` with at most one text of each source taken once more or once less: the one whose change brings the source's
+    words nearest to its target, if any brings them nearer.
+
+    Pivotal steps leave a source off by part of the text that is drawn last. A text changes only between `base` and one
+    more, as its fraction allows. One row per source is gathered, combined before the shuffle.
+    """
+    words_taken = F.col("size") * (F.col("n") * F.col("base") + F.col("ups"))
+    off = done.groupBy(F.col("source").alias("s")).agg((F.sum(words_taken) - F.max("target")).alias("off"))
+    near = F.broadcast(off) if off.count() <= SOURCES else off
+    fits = F.when(F.col("off") > 0, F.col("ups") > 0).otherwise((F.col("ups") < F.col("n")) & (F.col("base") < MOST))
+    gap = F.abs(F.abs("off") - F.col("size"))
+    able = done.join(near, F.col("source").eqNullSafe(F.col("s"))).where(fits & (F.col("size") > 0) & (gap < F.abs("off")))
+    best = able.groupBy("s").agg(
+        F.min(F.struct(gap.alias("gap"), "size", "doc_id", F.when(F.col("off") > 0, -1).otherwise(1).alias("by"))).alias("b")
+    )
+    best = stored(best.select("s", F.col("b.size").alias("z"), F.col("b.doc_id").alias("d"), F.col("b.by").alias("by")), "closing")
+    near = F.broadcast(best) if best.count() <= SOURCES else best
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    changed = done.join(near, same, "left").withColumn("ups", F.col("ups") + F.coalesce("by", F.lit(0)))
+    return changed.drop("s", "z", "d", "by")
+
+
 def mixed(documents: DataFrame, seed: int = 7) -> DataFrame:
     """(doc_id, size, source_size, target, source, copies, taken) for every row of `documents` (doc_id, source, text).
 
     Size counts words. Each document should be taken target / source_size times. The whole part is given to all; the
     fractions are rounded by pivotal steps that keep each source's words: blocks of about BLOCK fractions, larger
     texts first, leave one fraction each, and blocks of those the next level, until one per source is left, which is
-    drawn. So a source's words miss its target by less than one (mostly short) document. The fewer than LARGE texts that
+    drawn. So a source's words miss its target by less than one (mostly short) document, and then one text that makes up
+    for most of that is taken once more or less (`_closed`). The fewer than LARGE texts that
     hold over 1 / LARGE of their source each are rounded before the rest, whose rate then makes up for them; where the rest
     is too small for that, single large texts are taken once more or less (`_settled`). Blocks are dealt by hash, so a
     source with most rows is spread over many. Rows alike in doc_id, source and size are one unit with a count. Sizes of
@@ -200,6 +226,7 @@ def mixed(documents: DataFrame, seed: int = 7) -> DataFrame:
     open_rate = F.when(open_size > 0, (F.col("target") - F.coalesce("took", F.lit(0))) / open_size).otherwise(0.0)
     open_rate = F.least(F.lit(float(MOST)), F.greatest(F.lit(0.0), open_rate))
     done = first.union(_rounded(rest.withColumn("rate", open_rate).drop("took", "held"), seed + 1))
+    done = _closed(done)
     # Equal rows are told apart by a number only: the first `ups` of them are taken once more.
     each = done.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
     copies = F.when(F.col("size") > 0, F.col("base") + (F.col("k") <= F.col("ups")).cast("long")).otherwise(0)
