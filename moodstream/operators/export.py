@@ -5,7 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moodstream.functions.scalar import clamp01, iso_text, quarter_hour, squared_distance
+from moodstream.functions.scalar import clamp01, iso_text, quarter_hour
+from moodstream.operators.grid import nearest
 from moodstream.operators.sessions import session_facts
 from moodstream.schemas import FEATURES
 
@@ -143,21 +144,8 @@ def _query_points(points: Sequence[dict]) -> list[tuple[int, int, list[Column]]]
 
 def nearest_tracks(catalogue: DataFrame, points: Sequence[dict], n: int) -> DataFrame:
     """The `n` catalogue tracks nearest to each query (mood and variant)."""
-    catalogue = catalogue.where("sound is not null").select("track_id", "sound.*")
-    here = [F.col(name) for name in FEATURES]
-    offers = F.array(
-        *[
-            F.struct(
-                F.lit(mood).alias("mood_cluster_id"),
-                F.lit(variant).alias("variant"),
-                F.sqrt(squared_distance(here, vector)).alias("distance"),
-            )
-            for mood, variant, vector in _query_points(points)
-        ]
-    )
-    near = Window.partitionBy("mood_cluster_id", "variant").orderBy("distance", "track_id")
-    rows = catalogue.select("track_id", F.inline(offers))
-    return rows.withColumn("_place", F.row_number().over(near)).filter(F.col("_place") <= n).drop("_place")
+    queries = [({"mood_cluster_id": mood, "variant": variant}, vector) for mood, variant, vector in _query_points(points)]
+    return nearest(catalogue.where("sound is not null").select("track_id", "sound.*"), queries, n, "track_id")
 
 
 def recommend(
