@@ -11,13 +11,16 @@ from moodstream.plans.catalog.common import (
     HISTORY_TO,
     arrived,
     before,
+    history,
     points,
     rx,
 )
+from moodstream.plans.catalog.windows import SQL as WINDOWS
 from moodstream.schemas import PLAYS
 from moodstream.session import fresh_dir
 from moodstream.sources import history as store
 from moodstream.streaming import streams
+from moodstream.streaming.tails import stream_context
 
 DELAY_HOURS = 6
 LATE_FROM = "2024-01-20"
@@ -92,6 +95,18 @@ def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "mood_cluster_id")
 
 
+def context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of the second run's plays, from the state that the first run left."""
+    rows = history(spark, sf_dir)
+    late = rows.filter(F.col("played_at") >= F.lit(HISTORY_TO).cast("timestamp"))
+
+    def build(plays: DataFrame) -> DataFrame:
+        return stream_context(plays, gap_minutes=GAP_MINUTES)
+
+    samples = replay(spark, [before(rows), late], build, "context")
+    return samples.filter(F.col("played_at") >= F.lit(HISTORY_TO).cast("timestamp")).filter("ready").drop("ready", "mood_cluster_id")
+
+
 QUERIES = {
     "S1_stream_ingest": ingest,
     "S2_stream_dedupe": dedupe,
@@ -99,11 +114,13 @@ QUERIES = {
     "S4_stream_sessions": closed_sessions,
     "S5_stream_mood_bins": closed_bins,
     "S6_stream_assignment": assigned,
+    "S7_stream_context": context,
 }
 
 _END = f"(SELECT max(played_at) FROM plays) - INTERVAL {DELAY_HOURS} HOUR"
 
 SQL = {
+    "S7_stream_context": WINDOWS["E10_preceding_context"],
     "S1_stream_ingest": f"""
 , full_plays AS (
   SELECT *, played_at - lag(played_at) OVER (PARTITION BY listener_id ORDER BY played_at, track_id) AS gap
