@@ -113,3 +113,10 @@ def test_extra_columns_stay(spark):
     docs = frame(spark, ["some words of one text in a line of its own here", "other words"]).selectExpr("*", "1 as n_lines", "2 as k", "3 as key")
     for _, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_quality_verdicts_are_worked_out_once(spark):
+    """A filter on the verdict must not carry the steps that make the verdict, which it would repeat without end."""
+    rows = corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "kept" in plan and "xxhash64" not in plan and "regexp_replace" not in plan
