@@ -11,6 +11,7 @@ from moodstream.plans.dashboard import sanitised, write_dashboard
 from moodstream.schemas import FEATURES
 from moodstream.session import fresh_dir
 from moodstream.sources import metrics_log
+from moodstream.sources.history import staged
 
 
 @pytest.fixture
@@ -180,3 +181,11 @@ def test_metrics_log_carries_models_forward(spark):
     assert got == {1: None, 2: 0.8, 3: 0.8, 4: 0.4}
     view = {r["num_tracks"]: r["kind"] for r in export.metric_view(log.withColumn("k", F.lit(0)), ["k"], 2).collect()}
     assert view == {4: "latest", 3: "history", 2: "history"}
+
+
+def test_only_the_cut_is_broadcast(spark):
+    """A table that packs well is small by its files, which must not lead to a broadcast of all its rows."""
+    rows = staged(spark.range(20_000).selectExpr("id % 50 as listener_id", "date_add(date'2024-01-01', int(id div 1200)) as date", "int(id % 24) as hour"))
+    record = splits._thresholds(rows.withColumn("_shard", F.col("listener_id") % 8), [], ["date", "hour", "_shard"], ["listener_id"], 0.8)
+    plan = record._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
