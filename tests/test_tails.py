@@ -3,12 +3,13 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from moodstream.operators.mood_dataset import PLAY_ORDER, SESSION, sample_columns, scoring_context
 from moodstream.schemas import FEATURES
 from moodstream.session import fresh_dir
-from moodstream.streaming import streams
+from moodstream.streaming import streams, tails
 from moodstream.streaming.tails import stream_context
 
 SCHEMA = "listener_id string, session_id bigint, played_at timestamp, track_id string, mood_cluster_id int, " + ", ".join(
@@ -47,3 +48,43 @@ def test_any_cut_gives_the_stored_context(spark, cuts):
         streams.to_parquet(context, sink, state).awaitTermination()
     plays = spark.createDataFrame(rows, SCHEMA)
     assert _rows(spark.read.parquet(sink)) == _rows(scoring_context(plays, plays.limit(0)))
+
+
+class _State:
+    """State of one shard as the stream keeps it."""
+
+    def __init__(self):
+        self.get, self.timeout, self.now, self.hasTimedOut = None, None, 0, False
+
+    exists = property(lambda self: self.get is not None)
+
+    def getCurrentWatermarkMs(self):
+        return self.now
+
+    def update(self, value):
+        self.get = value
+
+    def remove(self):
+        self.get = None
+
+    def setTimeoutTimestamp(self, at):
+        self.timeout = at
+
+
+def test_a_call_serves_many_sessions():
+    def plays(*rows):
+        out = pd.DataFrame([(w, s, pd.Timestamp(2024, 1, 1, 0, m), f"t{m}", float(m)) for w, s, m in rows], columns=[*SESSION, *PLAY_ORDER, "mood_cluster_id"])
+        return out.assign(**{f: 0.5 for f in FEATURES})
+
+    follow, state = tails._follow(3, 10), _State()
+    got = next(follow((0,), iter([plays(("a", 0, 2), ("b", 0, 30)), plays(("a", 0, 1), ("a", 1, 40))]), state))
+    assert got[["listener_id", "session_id", "_pos", "_mood_cluster_id_2"]].fillna(-1).values.tolist() == [["a", 0, 0, -1], ["a", 0, 1, 1], ["a", 1, 0, -1], ["b", 0, 0, -1]]
+    first = int(pd.Timestamp(2024, 1, 1).timestamp() * 1000)
+    assert state.timeout == first + 12 * 60_000 + 1
+    state.now, state.hasTimedOut = first + 20 * 60_000, True
+    assert list(follow((0,), iter([]), state)) == [] and list(zip(*state.get[:2])) == [("a", 1), ("b", 0)]
+    state.hasTimedOut = False
+    got = next(follow((0,), iter([plays(("b", 0, 35), ("c", 0, 36))]), state))
+    assert got[["_pos", "_mood_cluster_id_2"]].fillna(-1).values.tolist() == [[1, 30], [0, -1]]
+    state.now, state.hasTimedOut = first + 600 * 60_000, True
+    assert list(follow((0,), iter([]), state)) == [] and not state.exists
