@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.linalg import Vectors
 
-from moodstream.operators import kmeans
+from moodstream.operators import kmeans, moods
 from moodstream.schemas import FEATURES
 
 
@@ -56,3 +56,11 @@ def test_few_points(spark, cloud):
     one = cloud[2].limit(1)
     fit = kmeans.best_fits(one, [3], 2, 1)[0]
     assert len(fit.centres) == 1 and fit.cost == pytest.approx(0.0) and kmeans.silhouettes(one, [fit]) == [-1.0]
+
+
+def test_points_are_dealt_out_to_all_cores(spark):
+    """Few bytes would be merged into one task, which then measures every point against every model."""
+    rows = spark.range(400).selectExpr(*[f"id / 400 + {k} as {n}" for k, n in enumerate(FEATURES)])
+    points = moods.weighted_points(rows.unionAll(rows))
+    assert points.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    assert (points.count(), points.agg({"weight": "sum"}).first()[0]) == (400, 800)
