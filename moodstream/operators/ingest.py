@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moodstream.functions.scalar import tempo_norm
 from moodstream.operators.skew import lookup_join
-from moodstream.schemas import FEATURES, PAYLOAD_FEATURES, PLAY_KEY
+from moodstream.schemas import PAYLOAD_FEATURES, PLAY_KEY
 
 
 def latest_play(history: DataFrame) -> DataFrame:
@@ -87,11 +87,3 @@ def upserted(history: DataFrame, batch: DataFrame, order: Sequence = ()) -> Data
         history.withColumn("_source", F.lit(0)), batch.withColumn("_source", F.lit(1))
     )
     return one_per_key(both, [F.desc("_source"), *order]).drop("_source").na.drop("any")
-
-
-def needs_mood(plays: DataFrame):
-    """True where a mood is missing and all features are there."""
-    complete = F.lit(True)
-    for name in FEATURES:
-        complete = complete & plays[name].isNotNull()
-    return plays["mood_cluster_id"].isNull() & complete

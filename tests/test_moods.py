@@ -27,6 +27,25 @@ def test_nearest_and_ties(make_plays):
     assert got["low"][1] == pytest.approx((6 * 0.15**2) ** 0.5)
 
 
+def test_a_mood_at_hand_stays_and_not_a_number_has_the_lowest_id(make_plays):
+    nan = float("nan")
+    rows = [(1, 0, "known", *[0.1] * 6, 7), (1, 1, "new", *[0.8] * 6, None), (1, 2, "nan", nan, *[0.8] * 5, None), (1, 3, "none", None, *[0.8] * 5, None)]
+    plays = make_plays(rows, **FEATURE_TYPES, mood_cluster_id="int")
+    points = [point(5, 0.75), point(2, 0.25)]
+    got = {r["track_id"]: r["mood_cluster_id"] for r in moods.assign_moods(plays, points).collect()}
+    assert got == {"known": 7, "new": 5, "nan": 2, "none": None}
+    assert {r["track_id"] for r in moods.assign_moods(plays, points[:1]).filter("mood_cluster_id = 5").collect()} == {"new", "nan"}
+
+
+@pytest.mark.parametrize("step, column", [(moods.assign_moods, "mood_cluster_id"), (moods.with_nearest, "nearest_cluster_id")])
+def test_a_filter_on_the_mood_does_not_repeat_the_distances(make_plays, step, column):
+    """The centroid's coordinate stands in one operator of the plan, though mood and filter both need it."""
+    plays = make_plays([(1, 0, "a", *[0.5] * 6)], **FEATURE_TYPES)
+    found = step(plays, [point(0, 0.123456), point(1, 0.75)]).filter(F.col(column).isNotNull())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("0.123456" in line for line in plan.splitlines()) == 1
+
+
 def test_labels_at_the_edges(spark):
     rows = spark.createDataFrame(
         [(0.6, 0.6, 0.5), (0.61, 0.61, 0.51), (0.4, 0.4, 0.5), (0.39, 0.39, 0.9)], "v double, e double, a double"
