@@ -9,6 +9,7 @@ from moodstream.operators.ingest import newer_than, one_per_key
 from moodstream.operators.moods import assign_moods
 from moodstream.operators.sessions import DEFAULT_GAP_MINUTES, continued, sessionise
 from moodstream.schemas import PLAY_KEY
+from moodstream.session import staged
 
 
 def prepared_batch(
@@ -25,8 +26,7 @@ def prepared_batch(
     # Of differing copies of a play the one with the greatest values counts, whatever the order of arrival.
     rest = [F.col(c).desc() for c in sorted(batch.columns) if c not in PLAY_KEY]
     fresh = one_per_key(batch.na.drop("any"), rest or [F.lit(1)])
-    if tails is None:
-        numbered = sessionise(fresh, gap_minutes)
-    else:
-        numbered = continued(newer_than(fresh, tails), tails, gap_minutes)
+    # Staged, as numbering reads them several times and would work them out anew each time.
+    new = staged(fresh if tails is None else newer_than(fresh, tails))
+    numbered = sessionise(new, gap_minutes) if tails is None else continued(new, tails, gap_minutes)
     return numbered if points is None else assign_moods(numbered, points)

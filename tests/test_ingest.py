@@ -148,6 +148,29 @@ def test_latest_batch(spark, make_plays):
     assert [r["track_id"] for r in store.latest_batch(spark, folder).collect()] == ["late"]
 
 
+def counted(spark, rows):
+    """The rows, and a counter of how often one of them was worked out."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def each(row):
+        seen.add(1)
+        return row
+
+    return spark.createDataFrame(rows.rdd.map(each), rows.schema), seen
+
+
+def test_a_batch_is_worked_out_once(spark, make_plays):
+    """Neither the check for an empty batch nor session ids, which read the plays several times, repeat the work before them."""
+    features = [0.5] * 6
+    plays = make_plays([(1, 60 * k, f"t{k}", *features) for k in range(20)], **FEATURE_TYPES).coalesce(1)
+    rows, seen = counted(spark, plays)
+    path = store.write_batch(rows, fresh_dir(spark, "ingestions"), datetime(2024, 3, 2))
+    assert seen.value == 20 and sorted(store.scan_batch(spark, path).collect()) == sorted(plays.collect())
+    rows, seen = counted(spark, plays)
+    got = prepared_batch(rows, None, None)
+    assert got.count() == 20 and got.select("session_id").distinct().count() == 1 and seen.value == 20
+
+
 def test_dataset_without_rows_is_an_error(spark, make_plays):
     with pytest.raises(ValueError):
         store.write_dataset(make_plays([(1, 0, "a")]).filter("track_id = 'x'"), fresh_dir(spark, "dataset"))
